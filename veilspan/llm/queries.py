@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, url_filters
+from . import chat_format, lz_fingerprint, packing, toxicity, url_filters
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_document_fingerprints": lz_fingerprint.op3_document_fingerprints,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_url_filters": url_filters.op6_url_filters,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
