@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, lz_fingerprint, near_dedup, packing, toxicity, url_filters
+from . import chat_format, lz_fingerprint, near_dedup, packing, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_document_fingerprints": lz_fingerprint.op3_document_fingerprints,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
