@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, lz_fingerprint, near_dedup, packing, substring_dedup, toxicity, url_filters
+from . import chat_format, decontamination, lz_fingerprint, near_dedup, packing, substring_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_document_fingerprints": lz_fingerprint.op3_document_fingerprints,
     "op4_chat_format": chat_format.op4_chat_format,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op6_url_filters": url_filters.ORACLE_SQL,
 }
