@@ -10,8 +10,11 @@ place from its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +26,59 @@ from .common import slices, space_words, stored, table, text_array
 
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+
+#: Letters whose composed form and lower case are the same everywhere, then marks: each of both is one pre-token.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins what ASCII white space separates: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer whose pre-tokenizer never joins what ASCII white space separates: each distinct word is encoded once.
 
-    def __init__(self, path: str):
+    With plain_words, plain words go to the tokenizer's model directly, lower-cased and in byte letters; for tokenizers that do just that to them.
+    """
+
+    def __init__(self, path: str, plain_words: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.plain_words = plain_words
+        self.letters = _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
+        self.starts, self.flat = array("q", [0]), array("I")
+
+    def _part(self, text: str) -> list[int]:
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        others = []
+        for word in words:
+            found = _PLAIN.fullmatch(word) if self.plain_words else None
+            if found is None:
+                others.append(word)
+                continue
+            self.known[word] = len(self.starts) - 1
+            self.flat.extend(self._part(found[1]) + self._part(found[2]))
+            self.starts.append(len(self.flat))
+        for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[word] = len(self.starts) - 1
+            self.flat.extend(found.ids)
+            self.starts.append(len(self.flat))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids (n + 1), and all ids (uint32)."""
@@ -43,20 +87,21 @@ class WordTokenizer:
             return np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint32)
         unique = words.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
+            self._forget()
         known = self.known
-        new = [w for w in unique if w not in known]
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype=np.uint32)
-        ids = [known[w] for w in unique]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate(ids)
-        codes = np.asarray(words.indices)
-        per_word = lengths[codes]
+        self._learn([w for w in unique if w not in known])
+        at = np.fromiter((known[w] for w in unique), dtype=np.int64, count=len(unique))[np.asarray(words.indices)]
+        starts = np.array(self.starts)
+        per_word = starts[at + 1] - starts[at]
         ends = np.cumsum(per_word)
-        source = np.repeat(starts[codes] - (ends - per_word), per_word) + np.arange(int(ends[-1]))
-        return np.concatenate([[0], ends])[offsets], flat[source]
+        source = np.repeat(starts[at] - (ends - per_word), per_word) + np.arange(int(ends[-1]))
+        return np.concatenate([[0], ends])[offsets], np.array(self.flat, dtype=np.uint32)[source]
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, kept from task to task."""
+    return WordTokenizer(path)
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
@@ -66,7 +111,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, e
     """Each document's ids, then end_id, cut at multiples of capacity. part and place: the task that cut a piece and the piece's rank there among those of its length."""
 
     def run(batches):
-        encode = WordTokenizer(tokenizer_path)
+        encode = word_tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in slices(batches):

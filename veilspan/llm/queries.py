@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, license_scan, lz_fingerprint, near_dedup, packing, substring_dedup, toxicity, url_filters
+from . import chat_format, decontamination, license_scan, line_dedup, lz_fingerprint, near_dedup, packing, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_document_fingerprints": lz_fingerprint.op3_document_fingerprints,
     "op4_chat_format": chat_format.op4_chat_format,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
