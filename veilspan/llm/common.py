@@ -68,6 +68,20 @@ def text_array(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def ascii_lowered(texts: pa.Array) -> pa.Array:
+    """Lower case for A-Z alone, of large strings without nulls. (Arrow's own kernel misreads arrays that start within a buffer.)"""
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    lowered = _LOWER[np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(lowered))
+
+
 def space_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Words between ASCII white space: offsets of each text's words (n + 1), and all words, dictionary-encoded."""
     parts = pc.ascii_split_whitespace(texts)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .common import ascii_lowered, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
 from .substring_dedup import ROWS, _by_document, _dealt, _documents_with_blocks, _pack, _unpack
 
 #: Buckets of word counts, whatever the corpus: 4 MB where they are broadcast.
@@ -29,7 +29,7 @@ def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     counts = np.asarray(pc.list_value_length(lines), dtype=np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    offsets, words = space_words(pc.ascii_lower(pc.list_flatten(lines)))
+    offsets, words = space_words(ascii_lowered(pc.list_flatten(lines)))
     if not len(words):
         return owner, number, np.zeros(len(owner) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     size = len(words.dictionary)
@@ -47,7 +47,7 @@ def word_counts(documents: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for b in slices(batches):
-            _, words = space_words(pc.ascii_lower(text_array(b.column("text"))))
+            _, words = space_words(ascii_lowered(text_array(b.column("text"))))
             if len(words):
                 once = word_hashes(pa.DictionaryArray.from_arrays(pa.array(np.arange(len(words.dictionary), dtype=np.int32)), words.dictionary))
                 total += np.bincount((once & np.uint64(mask)).astype(np.int64), np.bincount(np.asarray(words.indices), minlength=len(once)), minlength=mask + 1).astype(np.int64)
