@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, text_rows, to_slots, unpack
 from .common import ascii_lowered, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
-from .substring_dedup import ROWS, _by_document, _dealt, _documents_with_blocks, _pack, _unpack
 
 #: Buckets of word counts, whatever the corpus: 4 MB where they are broadcast.
 COUNT_BITS = 20
@@ -103,7 +103,7 @@ def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: in
             later = again[(ids[owner[again]] != ids[owner[base]]) | (number[again] != number[base])]
             parts, kinds, blobs = [], [], []
             if len(later):
-                parts, kinds, blobs = [int(ids[0] % n)], [1], [_pack(ids[owner[later]], number[later].astype("<i8"))]
+                parts, kinds, blobs = [int(ids[0] % n)], [1], [pack(ids[owner[later]], number[later].astype("<i8"))]
             first = np.zeros(len(size), dtype=bool)
             first[order[new]] = True
             line = np.repeat(np.arange(len(size)), size)
@@ -116,10 +116,10 @@ def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: in
             position = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
             prefix = position <= size[line] - least_common(size[line], percent)
             line, hashes, position = line[prefix], mix(hashes[prefix]), position[prefix]
-            for p, own in _dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
+            for p, own in dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
                 used, index = np.unique(owner[line[own]], return_inverse=True)
                 parts.append(p), kinds.append(0)
-                blobs.append(_pack(ids[used], (hashes[own] >> np.uint64(32)).astype("<u4"), digest[line[own]], sketch[line[own]], size[line[own]].astype("<u4"), position[own].astype("<u4"), index.astype("<u4"), number[line[own]].astype("<u4")))
+                blobs.append(pack(ids[used], (hashes[own] >> np.uint64(32)).astype("<u4"), digest[line[own]], sketch[line[own]], size[line[own]].astype("<u4"), position[own].astype("<u4"), index.astype("<u4"), number[line[own]].astype("<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "block"])
 
     return documents.mapInArrow(run, "part int, kind int, block binary").repartition(n, "part")
@@ -146,7 +146,7 @@ def similar_candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
+def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
     """ROWS for documents: kind 0 lines that repeat an earlier set; kind 1 lines of pairs to verify, as (line, pair, later document, later line)."""
 
     def run(batches):
@@ -154,9 +154,9 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             for kind, blob in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
                 if kind == 1:
-                    yield from _by_document(*_unpack(blob, "<i8", "<i8"))
+                    yield from by_slot(*unpack(blob, "<i8", "<i8"), 0, slots)
                 else:
-                    ids, *rest, index, line = _unpack(blob, "<i8", *_POSTING)
+                    ids, *rest, index, line = unpack(blob, "<i8", *_POSTING)
                     columns.append([*rest, ids[index], line.astype(np.int64)])
         if not columns:
             return
@@ -168,7 +168,7 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
         first[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1]) | (sketch[1:] != sketch[:-1]) | (size[1:] != size[:-1])
         base = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         copies = ~first & (position == 0) & ((doc != doc[base]) | (line != line[base]))
-        yield from _by_document(doc[copies], line[copies])
+        yield from by_slot(doc[copies], line[copies], 0, slots)
         token, sketch, size, position, doc, line = (x[first] for x in (token, sketch, size, position, doc, line))
         a, b = similar_candidates(token, size, position, sketch, percent)
         swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
@@ -178,13 +178,7 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
             pair = mix(pair * np.uint64(31) + x.astype(np.uint64) + np.uint64(1))
         own = np.concatenate([later, earlier])
         needs = np.stack([line[own], np.tile(pair.view(np.int64), 2), np.tile(doc[later], 2), np.tile(line[later], 2)], axis=1)
-        order = np.argsort(doc[own], kind="stable")
-        own, needs = doc[own][order], needs[order]
-        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, dtype=np.int64)
-        ends = np.append(cuts[1:], len(own))
-        for at in range(0, len(cuts), 2000):
-            rows = [needs[i:j].tobytes() for i, j in zip(cuts[at : at + 2000], ends[at : at + 2000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[cuts[at : at + 2000]]), pa.array(np.ones(len(rows), dtype=np.int32)), pa.nulls(len(rows), pa.string()), pa.array(rows, pa.binary())], names=["doc_id", "kind", "text", "block"])
+        yield from by_slot(doc[own], needs, 1, slots)
 
     return blocks.mapInArrow(run, ROWS)
 
@@ -204,45 +198,30 @@ def _without(text: str, removed: set[int]) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def _groups(batches):
-    """From rows (doc_id, kind, text, extra, block) sorted by doc_id and kind: each document's removed lines, needs, and (text, extra) pairs."""
-    current, removed, needs, texts = None, [], [], []
-    for b in batches:
-        for doc, kind, text, extra, block in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "text", "extra", "block")), strict=True):
-            if doc != current:
-                if current is not None:
-                    yield current, removed, needs, texts
-                current, removed, needs, texts = doc, [], [], []
-            if kind == 0:
-                removed += np.frombuffer(block, dtype="<i8").tolist()
-            elif kind == 1:
-                needs.append(np.frombuffer(block, dtype="<i8").reshape(-1, 4))
-            else:
-                texts.append((text or "", extra))
-    if current is not None:
-        yield current, removed, needs, texts
-
-
 def _judged(rows: DataFrame) -> DataFrame:
     """TABLE: documents without a line to verify are done; the others stay open; sets of lines to verify stand by pair."""
 
     def run(batches):
         out: list[tuple] = []
-        size = 0
-        for doc, removed, needs, texts in _groups(batches):
-            wanted = np.unique(np.concatenate(needs), axis=0) if needs else np.zeros((0, 4), dtype=np.int64)
-            waits = bool((wanted[:, 2] == doc).any())
-            for text, extra in texts:
-                size += len(text)
-                if waits:
-                    out.append(("open", doc, None, None, text, extra, None, None, None))
-                else:
-                    out.append(("done", doc, *_plain(text, removed), extra, None, None, None))
-            if waits and removed:
-                out.append(("removed", doc, None, None, None, None, None, None, np.array(removed, dtype="<i8").tobytes()))
-            if len(wanted) and texts:
-                _, _, offsets, hashes = line_sets(pa.array([texts[0][0]], pa.large_string()))
-                for line, pair, later, later_line in wanted.tolist():
+        size, before = 0, None
+        for doc, text, extra, found in documents_of(batches, {0: 1, 1: 4}):
+            removed, needs = found[0].ravel(), np.unique(found[1], axis=0)
+            waits = bool((needs[:, 2] == doc).any())
+            size += len(text)
+            if waits:
+                out.append(("open", doc, None, None, text, extra, None, None, None))
+            elif len(removed):
+                out.append(("done", doc, *_without(text, set(removed.tolist())), extra, None, None, None))
+            else:
+                out.append(("done", doc, text.count("\n") + 1, 0, text, extra, None, None, None))
+            if doc == before:
+                continue
+            before = doc
+            if waits and len(removed):
+                out.append(("removed", None, None, None, None, None, None, None, pack(np.full(len(removed), doc, dtype="<i8"), removed)))
+            if len(needs):
+                _, _, offsets, hashes = line_sets(pa.array([text], pa.large_string()))
+                for line, pair, later, later_line in needs.tolist():
                     own = np.sort(hashes[offsets[line] : offsets[line + 1]])
                     out.append(("set", later, None, None, None, None, pair, later_line, own.tobytes()))
                     size += 8 * len(own)
@@ -252,13 +231,22 @@ def _judged(rows: DataFrame) -> DataFrame:
         if out:
             yield _table_batch(out)
 
-    def _plain(text, removed):
-        return _without(text, set(removed)) if removed else (text.count("\n") + 1, 0, text)
-
     return rows.mapInArrow(run, TABLE)
 
 
-def _verified(sets: DataFrame, percent: int) -> DataFrame:
+def _again(removed: DataFrame, slots: int) -> DataFrame:
+    """ROWS of kind 0 from blocks that documents have kept."""
+
+    def run(batches):
+        for b in batches:
+            held = [unpack(x, "<i8", "<i8") for x in b.column("block").to_pylist()]
+            if held:
+                yield from by_slot(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), 0, slots)
+
+    return removed.select("block").mapInArrow(run, ROWS)
+
+
+def _verified(sets: DataFrame, percent: int, slots: int) -> DataFrame:
     """ROWS of kind 0 for the later lines of pairs whose sets are similar, from sets (pair, doc_id, line, block) sorted by pair."""
 
     def run(batches):
@@ -274,7 +262,7 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     ids.append(row[1]), lines.append(row[2])
                 held = None
-            yield from _by_document(np.array(ids, dtype=np.int64), np.array(lines, dtype=np.int64))
+            yield from by_slot(np.array(ids, dtype=np.int64), np.array(lines, dtype=np.int64), 0, slots)
 
     return sets.mapInArrow(run, ROWS)
 
@@ -283,11 +271,10 @@ def _finished(rows: DataFrame) -> DataFrame:
     def run(batches):
         out: list[tuple] = []
         size = 0
-        for doc, removed, _, texts in _groups(batches):
-            for text, extra in texts:
-                out.append(("done", doc, *_without(text, set(removed)), extra, None, None, None))
-                size += len(text)
-            if out and size > _TAKEN // 2:
+        for doc, text, extra, found in documents_of(batches, {0: 1}):
+            out.append(("done", doc, *_without(text, set(found[0].ravel().tolist())), extra, None, None, None))
+            size += len(text)
+            if size > _TAKEN // 2:
                 yield _table_batch(out)
                 out, size = [], 0
         if out:
@@ -308,16 +295,14 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     n = partitions(documents.sparkSession)
     passed = F.col(extra).cast("string") if extra else F.lit(None).cast("string")
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", passed.alias("extra")).where("doc_id IS NOT NULL")
-    candidates = _candidates(_prefix_blocks(documents.select("doc_id", "text"), word_counts(documents), percent, n), percent)
-    none = F.lit(None)
-    texts = documents.select("doc_id", F.lit(2).alias("kind"), "text", "extra", none.cast("binary").alias("block"))
-    add_extra = lambda rows: rows.select("doc_id", "kind", "text", none.cast("string").alias("extra"), "block")
-    by_document = lambda rows: rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind")
-    judged = stored(_judged(by_document(texts.unionByName(add_extra(candidates)))), "judged")
+    slots = SLOTS_PER_PARTITION * n
+    candidates = _candidates(_prefix_blocks(documents.select("doc_id", "text"), word_counts(documents), percent, n), percent, slots)
+    texts = text_rows(documents, slots, F.col("extra"))
+    judged = stored(_judged(to_slots(texts.unionByName(candidates), n)), "judged")
     sets = judged.where("kind = 'set'").select("pair", "doc_id", "line", "block").repartition(n, "pair").sortWithinPartitions("pair", "doc_id", "line")
-    decided = judged.where("kind = 'removed'").select("doc_id", F.lit(0).alias("kind"), "text", "extra", "block")
-    opened = judged.where("kind = 'open'").select("doc_id", F.lit(2).alias("kind"), "text", "extra", "block")
-    finished = _finished(by_document(opened.unionByName(decided).unionByName(add_extra(_verified(sets, percent)))))
+    opened = text_rows(judged.where("kind = 'open'"), slots, F.col("extra"))
+    decided = _again(judged.where("kind = 'removed'"), slots)
+    finished = _finished(to_slots(opened.unionByName(decided).unionByName(_verified(sets, percent, slots)), n))
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept"), "extra")
 
 
