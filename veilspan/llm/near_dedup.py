@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import document_shingles, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .common import ascii_lowered, document_shingles, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
 from .components import UnionFind, connected_components
 
 MINIMA, TREES, DEPTH = 64, 21, 3
@@ -39,7 +38,7 @@ _SHIFTS = mix(np.arange(501, 501 + MINIMA, dtype=np.uint64))
 
 def text_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text: words between ASCII white space, A-Z lower-cased."""
-    offsets, words = space_words(pc.ascii_lower(texts))
+    offsets, words = space_words(ascii_lowered(texts))
     return document_shingles(offsets, word_hashes(words), width)
 
 
