@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,32 +37,38 @@ class Tokenizer:
 
     def __call__(self, b: bytes) -> list[tuple[int, int, int]]:
         """(id, start, end) that cover the bytes; a byte that no token begins with is an error."""
-        out, at = [], 0
+        out, at, known, lengths = [], 0, self.vocabulary.get, self.lengths
         while at < len(b):
+            end, found = at, None
             for token, i in self.specials:
                 if token and b.startswith(token, at):
+                    end, found = at + len(token), i
                     break
             else:
-                for n in self.lengths:
-                    token = b[at : at + n]
-                    if len(token) == n and token in self.vocabulary:
-                        i = self.vocabulary[token]
+                for n in lengths:
+                    found = known(b[at : at + n])
+                    if found is not None:
+                        end = min(at + n, len(b))
                         break
-                else:
-                    raise ValueError(f"no token begins at byte {at}")
-            out.append((i, at, at + len(token)))
-            at += len(token)
+            if found is None:
+                raise ValueError(f"no token begins at byte {at}")
+            out.append((found, at, end))
+            at = end
         return out
 
 
 def tokens_udf(tokenizer: Tokenizer) -> Callable[[Column | str], Column]:
-    @F.pandas_udf(TOKEN_TYPE)
-    def tokens(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
+    @F.arrow_udf(TOKEN_TYPE)
+    def tokens(texts: pa.Array) -> pa.Array:
+        ends, found, pieces = [0], [], []
+        for t in texts.to_pylist():
             b = text_bytes(t or "")
-            out.append([{"id": i, "start": s, "end": e, "text": b[s:e].decode("utf-8", "replace")} for i, s, e in tokenizer(b)])
-        return pd.Series(out)
+            own = tokenizer(b)
+            found += own
+            pieces += [b[s:e].decode("utf-8", "replace") for _, s, e in own]
+            ends.append(len(found))
+        columns = [pa.array(x, pa.int32()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int32())] * 3
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([*columns, pa.array(pieces, pa.string())], names=["id", "start", "end", "text"]))
 
     return tokens
 
