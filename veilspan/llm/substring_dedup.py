@@ -10,7 +10,7 @@ lengths of neighbours; its internal nodes of depth `window` or more are the repe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, slots_of, text_rows, to_slots, unpack
 from .common import mix, partitions, shingle_hashes, slices, space_words, stored, table, text_array, word_hashes
 
 WINDOW = 20
@@ -50,27 +51,6 @@ def anchored_windows(offsets: np.ndarray, codes: np.ndarray, window: int) -> tup
     return best[starts[first]], anchor[first], starts[first], np.diff(np.append(first, len(starts)))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    lengths = np.frombuffer(blob, dtype="<i8", count=len(types))
-    out, at = [], 8 * len(types)
-    for n, t in zip(lengths.tolist(), types, strict=True):
-        out.append(np.frombuffer(blob, dtype=t, count=n, offset=at))
-        at += n * np.dtype(t).itemsize
-    return out
-
-
-def _dealt(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(n + 1))
-    for p in range(n):
-        if ends[p] < ends[p + 1]:
-            yield p, order[ends[p] : ends[p + 1]]
-
-
 def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets, words = space_words(texts)
     return offsets, word_hashes(words)
@@ -88,39 +68,24 @@ def _anchor_blocks(documents: DataFrame, window: int, n: int) -> DataFrame:
             hashes, places, _, _ = anchored_windows(offsets, codes, window)
             documents_of = np.searchsorted(offsets, places, side="right") - 1
             parts, blobs = [], []
-            for p, own in _dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
+            for p, own in dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
                 used, index = np.unique(documents_of[own], return_inverse=True)
                 parts.append(p)
-                blobs.append(_pack(ids[used], digests[used], (hashes[own] >> np.uint64(32)).astype("<u4"), index.astype("<u4"), (places[own] - offsets[documents_of[own]]).astype("<u4")))
+                blobs.append(pack(ids[used], digests[used], (hashes[own] >> np.uint64(32)).astype("<u4"), index.astype("<u4"), (places[own] - offsets[documents_of[own]]).astype("<u4")))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
     return documents.mapInArrow(run, "part int, block binary").repartition(n, "part")
 
 
-def _by_document(ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, kind 0, text null, block): the values of each document, packed."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order].astype("<i8")
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
-    ends = np.append(cuts[1:], len(ids))
-    for at in range(0, len(cuts), 5000):
-        rows = [values[i:j].tobytes() for i, j in zip(cuts[at : at + 5000], ends[at : at + 5000], strict=True)]
-        m = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[at : at + 5000]]), pa.array(np.zeros(m, dtype=np.int32)), pa.nulls(m, pa.string()), pa.array(rows, pa.binary())], names=["doc_id", "kind", "text", "block"])
-
-
-ROWS = "doc_id bigint, kind int, text string, block binary"
-
-
-def _shared_anchors(blocks: DataFrame) -> DataFrame:
-    """ROWS: for each first document of a text the anchors that another text, or another place of it, has too, as 2 * place + (1 if crowded)."""
+def _shared_anchors(blocks: DataFrame, slots: int) -> DataFrame:
+    """ROWS of kind 0: for each first document of a text the anchors that another text, or another place of it, has too, as 2 * place + (1 if crowded)."""
 
     def run(batches):
         hashes, ids, digests, places = [], [], [], []
         for b in batches:
             for blob in b.column("block").to_pylist():
-                i, d, h, index, place = _unpack(blob, "<i8", "<u8", "<u4", "<u4", "<u4")
+                i, d, h, index, place = unpack(blob, "<i8", "<u8", "<u4", "<u4", "<u4")
                 hashes.append(h), ids.append(i[index]), digests.append(d[index]), places.append(place)
         if not hashes:
             return
@@ -135,33 +100,14 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
         size = np.diff(np.append(start, len(h)))
         sizes = np.repeat(size, size)
         shared = sizes > 1
-        yield from _by_document(ids[shared], 2 * places[shared].astype(np.int64) + (sizes[shared] > CROWDED))
+        yield from by_slot(ids[shared], 2 * places[shared].astype(np.int64) + (sizes[shared] > CROWDED), 0, slots)
 
     return blocks.mapInArrow(run, ROWS)
 
 
-def _documents_with_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[str | None], np.ndarray, bool]]:
-    """From rows sorted by doc_id: each document's texts (one for each row of it), the values of its blocks, and whether it copies an earlier one."""
-    current, texts, blocks, copy = None, [], [], False
-    for b in batches:
-        for doc, kind, text, block in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "text", "block")), strict=True):
-            if doc != current:
-                if current is not None:
-                    yield current, texts, np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int64), copy
-                current, texts, blocks, copy = doc, [], [], False
-            if kind == 0:
-                blocks.append(np.frombuffer(block, dtype="<i8"))
-            elif kind == 1:
-                copy = True
-            else:
-                texts.append(text)
-    if current is not None:
-        yield current, texts, np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.int64), copy
-
-
-def _kept(text: str | None, starts: np.ndarray, window: int, everything: bool) -> tuple[int, int, list[bytes]]:
+def _kept(text: str, starts: np.ndarray, window: int, everything: bool) -> tuple[int, int, list[bytes]]:
     """Words, removed words and kept words of a text whose windows at starts go."""
-    words = (text or "").encode().split()
+    words = text.encode().split()
     if everything and len(words) >= window:
         return len(words), len(words), []
     if not len(starts):
@@ -182,7 +128,7 @@ def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], window: int, n: int) -> Iterator[tuple]:
+def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], window: int, n: int, slots: int) -> Iterator[tuple]:
     """TABLE rows of the marked anchors of some documents: their suffixes, dealt by prefix, and what equal crowded windows among them decide at once."""
     offsets, codes = _word_codes(pa.array(texts, pa.large_string()))
     hashes, places, starts, counts = anchored_windows(offsets, codes, window)
@@ -208,39 +154,39 @@ def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], w
         first[1:] = full[1:] != full[:-1]
         base = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
         later = ~first & ((ids[doc] != ids[doc[base]]) | (own - offsets[doc] != own[base] - offsets[doc[base]]))
-        for i in np.unique(doc[later]):
-            yield ("removed", int(ids[i]), None, None, None, None, None, (own[later & (doc == i)] - offsets[i]).astype("<i8").tobytes())
+        for slot, mine in dealt(slots_of(ids[doc[later]], slots), slots):
+            yield ("removed", None, None, None, None, None, slot, pack(ids[doc[later]][mine], (own[later] - offsets[doc[later]])[mine].astype("<i8")))
         hashes, starts, counts = np.concatenate([hashes, full[first]]), np.concatenate([starts, own[first]]), np.concatenate([counts, np.ones(first.sum(), dtype=np.int64)])
-    for p, own in _dealt((mix(hashes) >> np.uint64(17)) % np.uint64(n), n):
+    for p, own in dealt((mix(hashes) >> np.uint64(17)) % np.uint64(n), n):
         length = counts[own] + window - 1
         ends = np.cumsum(length)
         flat = words[np.repeat(starts[own] - (ends - length), length) + np.arange(int(ends[-1]))]
         doc = np.searchsorted(offsets, starts[own], side="right") - 1
-        yield ("suffixes", None, None, None, None, None, p, _pack(ids[doc], (starts[own] - offsets[doc]).astype("<u4"), counts[own].astype("<u1"), flat))
+        yield ("suffixes", None, None, None, None, None, p, pack(ids[doc], (starts[own] - offsets[doc]).astype("<u4"), counts[own].astype("<u1"), flat))
 
 
-def _judged(rows: DataFrame, window: int, n: int) -> DataFrame:
+def _judged(rows: DataFrame, window: int, n: int, slots: int) -> DataFrame:
     """TABLE: documents that are done (no shared anchor, or copies), and the others with their suffixes."""
 
     def run(batches):
         out: list[tuple] = []
         ids, texts, marks, size = [], [], [], 0
-        for doc, own, values, copy in _documents_with_blocks(batches):
-            for text in own:
-                if copy or not len(values):
-                    words, removed, kept = _kept(text, values, window, copy)
-                    out.append(("done", doc, words, removed, b" ".join(kept).decode(), None, None, None))
-                else:
-                    out.append(("open", doc, None, None, None, text, None, None))
-                    ids.append(doc), texts.append(text or ""), marks.append(values)
-                size += len(text or "")
+        for doc, text, _, found in documents_of(batches, {0: 1, 1: 1}):
+            values, copy = found[0].ravel(), len(found[1]) > 0
+            if copy or not len(values):
+                words, removed, kept = _kept(text, values, window, copy)
+                out.append(("done", doc, words, removed, b" ".join(kept).decode(), None, None, None))
+            else:
+                out.append(("open", doc, None, None, None, text, None, None))
+                ids.append(doc), texts.append(text), marks.append(values)
+            size += len(text)
             if size > TAKEN // 2:
                 if ids:
-                    out += _suffix_blocks(np.array(ids), texts, marks, window, n)
+                    out += _suffix_blocks(np.array(ids), texts, marks, window, n, slots)
                 yield _table_batch(out)
                 out, ids, texts, marks, size = [], [], [], [], 0
         if ids:
-            out += _suffix_blocks(np.array(ids), texts, marks, window, n)
+            out += _suffix_blocks(np.array(ids), texts, marks, window, n, slots)
         if out:
             yield _table_batch(out)
 
@@ -261,14 +207,14 @@ def repeated_leaves(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray) ->
     return order[later]
 
 
-def _repeats(suffixes: DataFrame, window: int) -> DataFrame:
-    """ROWS: the windows that a subtree shows to occur earlier."""
+def _repeats(suffixes: DataFrame, window: int, slots: int) -> DataFrame:
+    """ROWS of kind 0: the windows that a subtree shows to occur earlier."""
 
     def run(batches):
         held = []
         for b in batches:
             for blob in b.column("block").to_pylist():
-                held.append(_unpack(blob, "<i8", "<u4", "<u1", "<u4"))
+                held.append(unpack(blob, "<i8", "<u4", "<u1", "<u4"))
         if not held:
             return
         ids, starts, counts, flat = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -278,7 +224,7 @@ def _repeats(suffixes: DataFrame, window: int) -> DataFrame:
         k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         ids, starts = np.repeat(ids, counts), np.repeat(starts, counts).astype(np.int64) + k
         rows = repeated_leaves(flat[(base + k)[:, None] + np.arange(window)], ids, starts)
-        yield from _by_document(ids[rows], starts[rows])
+        yield from by_slot(ids[rows], starts[rows], 0, slots)
 
     return suffixes.mapInArrow(run, ROWS)
 
@@ -287,12 +233,11 @@ def _finished(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         out: list[tuple] = []
         size = 0
-        for doc, own, starts, _ in _documents_with_blocks(batches):
-            for text in own:
-                words, removed, kept = _kept(text, starts, window, False)
-                out.append(("done", doc, words, removed, b" ".join(kept).decode(), None, None, None))
-                size += len(text or "")
-            if out and size > TAKEN // 2:
+        for doc, text, _, found in documents_of(batches, {0: 1}):
+            words, removed, kept = _kept(text, found[0].ravel(), window, False)
+            out.append(("done", doc, words, removed, b" ".join(kept).decode(), None, None, None))
+            size += len(text)
+            if size > TAKEN // 2:
                 yield _table_batch(out)
                 out, size = [], 0
         if out:
@@ -301,6 +246,17 @@ def _finished(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, TABLE)
 
 
+def _copy_blocks(copies: DataFrame, slots: int) -> DataFrame:
+    """ROWS of kind 1 for documents (doc_id)."""
+
+    def run(batches):
+        for b in batches:
+            ids = np.asarray(b.column("doc_id"))
+            yield from by_slot(ids, np.ones(len(ids), dtype=np.int64), 1, slots)
+
+    return copies.mapInArrow(run, ROWS)
+
+
 def remove_repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents (doc_id, text) as doc_id, n_words, n_removed, kept: without the words that a window covers whose words also start earlier.
 
@@ -312,20 +268,19 @@ def remove_repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataF
     if window <= PREFIX:
         raise ValueError(f"a window needs more than {PREFIX} words")
     n = partitions(documents.sparkSession)
+    slots = SLOTS_PER_PARTITION * n
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     digests = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = digests.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct()
-    nothing = F.lit(None)
-    copies = copies.select("doc_id", F.lit(1).alias("kind"), nothing.cast("string").alias("text"), nothing.cast("binary").alias("block"))
-    texts = documents.select("doc_id", F.lit(2).alias("kind"), "text", nothing.cast("binary").alias("block"))
-    shared = _shared_anchors(_anchor_blocks(documents, window, n))
-    rows = texts.unionByName(copies).unionByName(shared).repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind")
-    judged = stored(_judged(rows, window, n), "judged")
-    repeats = _repeats(judged.where("kind = 'suffixes'").select("part", "block").repartition(n, "part"), window)
-    decided = judged.where("kind = 'removed'").select("doc_id", F.lit(0).alias("kind"), nothing.cast("string").alias("text"), "block")
-    opened = judged.where("kind = 'open'").select("doc_id", F.lit(2).alias("kind"), "text", nothing.cast("binary").alias("block"))
-    finished = _finished(opened.unionByName(decided).unionByName(repeats).repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind"), window)
+    shared = _shared_anchors(_anchor_blocks(documents, window, n), slots)
+    rows = text_rows(documents, slots).unionByName(_copy_blocks(copies, slots)).unionByName(shared)
+    judged = stored(_judged(to_slots(rows, n), window, n, slots), "judged")
+    repeats = _repeats(judged.where("kind = 'suffixes'").select("part", "block").repartition(n, "part"), window, slots)
+    none = F.lit(None)
+    decided = judged.where("kind = 'removed'").select(F.col("part").alias("slot"), F.lit(0).alias("kind"), none.cast("bigint").alias("doc_id"), none.cast("string").alias("text"), none.cast("string").alias("extra"), "block")
+    opened = text_rows(judged.where("kind = 'open'"), slots)
+    finished = _finished(to_slots(opened.unionByName(decided).unionByName(repeats), n), window)
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_words", "n_removed", "kept")
 
 
