@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilspan.llm import chat_format, decontamination, license_scan, line_dedup, lz_fingerprint, near_dedup, packing, substring_dedup, toxicity, url_filters
+from veilspan.llm import chat_format, decontamination, license_scan, line_dedup, lz_fingerprint, near_dedup, packing, rare_prefix, substring_dedup, toxicity, url_filters
 from veilspan.llm.common import ascii_lowered, space_words
 
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -224,7 +224,7 @@ def test_similar_candidates_lose_nothing():
                 sketches.append(np.bitwise_xor.reduce(np.uint64(1) << np.array(s, dtype=np.uint64)))
         order = np.lexsort((sizes, tokens))
         arrays = [np.array(x)[order] for x in (tokens, sizes, positions, sketches)]
-        a, b = line_dedup.similar_candidates(*arrays, percent)
+        a, b = rare_prefix.similar_candidates(*arrays, percent)
         own = np.array(owner)[order]
         found = {frozenset(x) for x in zip(own[a].tolist(), own[b].tolist(), strict=True)}
         for i in range(60):

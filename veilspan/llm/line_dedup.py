@@ -2,8 +2,9 @@
 
 A line is the set of its words. Words are ordered by rarity, that is by the counts of their hash buckets over all documents, then by
 hash; two sets of Jaccard similarity t share a word among the first |x| - ceil(t |x|) + 1 of each. These prefixes are joined; pairs must
-pass the length filter, the positional filter, and a bound on the symmetric difference from a 64-bit parity sketch; what passes is
-verified on both sets. Of two similar lines the later one goes.
+pass the length filter, the positional filter, and a bound on the symmetric difference from a 64-bit parity sketch. For each later line
+the closest candidate of each word is verified on both sets; where that fails and there are others, these are joined anew with rarity
+counted among them alone, and verified. Of two similar lines the later one goes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, text_rows, to_slots, unpack
 from .common import ascii_lowered, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .rare_prefix import rare_prefix_pairs, similar_candidates
 
 #: Buckets of word counts, whatever the corpus: 4 MB where they are broadcast.
 COUNT_BITS = 20
@@ -125,29 +127,9 @@ def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: in
     return documents.mapInArrow(run, "part int, kind int, block binary").repartition(n, "part")
 
 
-def similar_candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, sorted by token and size, that share a token and pass the length, positional and sketch filters."""
-    token, size, position = token.astype(np.int64), size.astype(np.int64), position.astype(np.int64)
-    out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    # the smaller set of a pair meets the other within a shorter prefix
-    active = np.flatnonzero(position <= size - -(-2 * percent * size // (100 + percent)))
-    shift = 0
-    while len(active):
-        shift += 1
-        active = active[active + shift < len(token)]
-        other = active + shift
-        alike = (token[other] == token[active]) & (100 * size[active] >= percent * size[other])
-        active, other = active[alike], other[alike]
-        both = size[active] + size[other]
-        needed = -(-percent * both // (100 + percent))
-        reachable = np.minimum(size[active] - position[active], size[other] - position[other])
-        near = (reachable >= needed) & (np.bitwise_count(sketch[active] ^ sketch[other]) <= both - 2 * needed)
-        out_a.append(active[near]), out_b.append(other[near])
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
 def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
-    """ROWS for documents: kind 0 lines that repeat an earlier set; kind 1 lines of pairs to verify, as (line, pair, later document, later line)."""
+    """ROWS for documents: kind 0 lines that repeat an earlier set; kind 1 lines of pairs to verify, as (line, pair, later document, later
+    line), for each later line and word the closest by sketch; kind 2 lines of the other candidates."""
 
     def run(batches):
         columns: list[list[np.ndarray]] = []
@@ -173,7 +155,15 @@ def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
         a, b = similar_candidates(token, size, position, sketch, percent)
         swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
         later, earlier = np.where(swap, a, b), np.where(swap, b, a)
-        pair = np.zeros(len(a), dtype=np.uint64)
+        order = np.lexsort((line[earlier], doc[earlier], np.bitwise_count(sketch[a] ^ sketch[b]), later))
+        later, earlier = later[order], earlier[order]
+        best = np.ones(len(later), dtype=bool)
+        best[1:] = later[1:] != later[:-1]
+        several = np.isin(later, later[~best])
+        open_rows = np.unique(np.concatenate([later[several], earlier[several]]))
+        yield from by_slot(doc[open_rows], line[open_rows], 2, slots)
+        later, earlier = later[best], earlier[best]
+        pair = np.zeros(len(later), dtype=np.uint64)
         for x in (doc[later], line[later], doc[earlier], line[earlier]):
             pair = mix(pair * np.uint64(31) + x.astype(np.uint64) + np.uint64(1))
         own = np.concatenate([later, earlier])
@@ -199,14 +189,14 @@ def _without(text: str, removed: set[int]) -> tuple[int, int, str]:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """TABLE: documents without a line to verify are done; the others stay open; sets of lines to verify stand by pair."""
+    """TABLE: documents without a line to verify are done; the others stay open; sets of lines to verify stand by pair, those of other candidates by line."""
 
     def run(batches):
         out: list[tuple] = []
         size, before = 0, None
-        for doc, text, extra, found in documents_of(batches, {0: 1, 1: 4}):
-            removed, needs = found[0].ravel(), np.unique(found[1], axis=0)
-            waits = bool((needs[:, 2] == doc).any())
+        for doc, text, extra, found in documents_of(batches, {0: 1, 1: 4, 2: 1}):
+            removed, needs, members = found[0].ravel(), np.unique(found[1], axis=0), np.unique(found[2])
+            waits = len(members) > 0 or bool((needs[:, 2] == doc).any())
             size += len(text)
             if waits:
                 out.append(("open", doc, None, None, text, extra, None, None, None))
@@ -219,8 +209,12 @@ def _judged(rows: DataFrame) -> DataFrame:
             before = doc
             if waits and len(removed):
                 out.append(("removed", None, None, None, None, None, None, None, pack(np.full(len(removed), doc, dtype="<i8"), removed)))
-            if len(needs):
+            if len(needs) or len(members):
                 _, _, offsets, hashes = line_sets(pa.array([text], pa.large_string()))
+                for line in members.tolist():
+                    own = np.sort(hashes[offsets[line] : offsets[line + 1]])
+                    out.append(("member", doc, None, None, None, None, None, line, own.tobytes()))
+                    size += 8 * len(own)
                 for line, pair, later, later_line in needs.tolist():
                     own = np.sort(hashes[offsets[line] : offsets[line + 1]])
                     out.append(("set", later, None, None, None, None, pair, later_line, own.tobytes()))
@@ -246,25 +240,69 @@ def _again(removed: DataFrame, slots: int) -> DataFrame:
     return removed.select("block").mapInArrow(run, ROWS)
 
 
-def _verified(sets: DataFrame, percent: int, slots: int) -> DataFrame:
-    """ROWS of kind 0 for the later lines of pairs whose sets are similar, from sets (pair, doc_id, line, block) sorted by pair."""
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _verified(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line) of the later lines of pairs whose sets are similar, from sets (pair, doc_id, line, block) sorted by pair."""
 
     def run(batches):
         held = None
         for b in batches:
-            ids, lines = [], []
+            found = []
             for row in zip(*(b.column(c).to_pylist() for c in ("pair", "doc_id", "line", "block")), strict=True):
                 if held is None or held[:3] != row[:3]:
                     held = row
                     continue
-                x, y = np.frombuffer(held[3], dtype=np.uint64), np.frombuffer(row[3], dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    ids.append(row[1]), lines.append(row[2])
+                if _similar(held[3], row[3], percent):
+                    found.append(row[1:3])
                 held = None
-            yield from by_slot(np.array(ids, dtype=np.int64), np.array(lines, dtype=np.int64), 0, slots)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "line"])
+
+    return sets.mapInArrow(run, "doc_id bigint, line bigint").distinct()
+
+
+def _verified_rest(members: DataFrame, resolved: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line) of the members (doc_id, line, block) that are similar to an earlier one, without those resolved already."""
+
+    def tokens(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, dtype=np.int64) for x in b.column("block").to_pylist()]
+            if sets:
+                size = np.array([len(x) for x in sets])
+                columns = [np.concatenate(sets), np.repeat(np.asarray(b.column("item")), size), np.repeat(np.asarray(b.column("component")), size), np.repeat(size, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "item", "component", "size"])
+
+    def verify(batches):
+        for b in batches:
+            found = []
+            for x, y, *places in zip(*(b.column(c).to_pylist() for c in ("x", "y", "xd", "xl", "xo", "yd", "yl", "yo")), strict=True):
+                (xd, xl, xo), (yd, yl, yo) = places[:3], places[3:]
+                doc, line, is_open = (xd, xl, xo) if (xd, xl) > (yd, yl) else (yd, yl, yo)
+                if is_open and _similar(x, y, percent):
+                    found.append((doc, line))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "line"])
+
+    item = F.xxhash64("doc_id", "line")
+    is_open = members.join(resolved.withColumn("done", F.lit(True)), ["doc_id", "line"], "left").withColumn("item", item)
+    # an open line is a component of its own, so it is paired with all others; resolved ones are not paired among themselves
+    is_open = stored(is_open.select("doc_id", "line", "block", "item", F.when(F.col("done"), F.lit(0)).otherwise(F.col("item")).alias("component")), "members")
+    pairs = stored(rare_prefix_pairs(is_open.mapInArrow(tokens, "token bigint, item bigint, component bigint, size bigint"), percent), "pairs")
+    side = lambda own, p: is_open.select(F.col("item").alias(own), F.col("block").alias(p), F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), (F.col("component") != 0).alias(f"{p}o"))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(verify, "doc_id bigint, line bigint").distinct()
+
+
+def _line_blocks(lines: DataFrame, slots: int) -> DataFrame:
+    """ROWS of kind 0 of lines (doc_id, line)."""
+
+    def run(batches):
+        for b in batches:
+            yield from by_slot(np.asarray(b.column("doc_id")), np.asarray(b.column("line")), 0, slots)
 
-    return sets.mapInArrow(run, ROWS)
+    return lines.select("doc_id", "line").mapInArrow(run, ROWS)
 
 
 def _finished(rows: DataFrame) -> DataFrame:
@@ -302,7 +340,10 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     sets = judged.where("kind = 'set'").select("pair", "doc_id", "line", "block").repartition(n, "pair").sortWithinPartitions("pair", "doc_id", "line")
     opened = text_rows(judged.where("kind = 'open'"), slots, F.col("extra"))
     decided = _again(judged.where("kind = 'removed'"), slots)
-    finished = _finished(to_slots(opened.unionByName(decided).unionByName(_verified(sets, percent, slots)), n))
+    resolved = stored(_verified(sets, percent), "resolved")
+    rest = _verified_rest(judged.where("kind = 'member'").select("doc_id", "line", "block"), resolved, percent)
+    removed = decided.unionByName(_line_blocks(resolved.unionByName(rest), slots))
+    finished = _finished(to_slots(opened.unionByName(removed), n))
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept"), "extra")
 
 
