@@ -25,6 +25,8 @@ WINDOW = 20
 PREFIX = 8
 #: An anchor of more suffixes than this takes the whole window as prefix.
 CROWDED = 5000
+#: Suffixes whose words are laid out at a time.
+SUFFIXES_AT_ONCE = 50_000
 #: Bytes of text that are taken together.
 TAKEN = 8 << 20
 
@@ -211,7 +213,7 @@ def _repeats(suffixes: DataFrame, window: int, slots: int) -> DataFrame:
     """ROWS of kind 0: the windows that a subtree shows to occur earlier."""
 
     def run(batches):
-        held = []
+        held, found = [], []
         for b in batches:
             for blob in b.column("block").to_pylist():
                 held.append(unpack(blob, "<i8", "<u4", "<u1", "<u4"))
@@ -222,9 +224,13 @@ def _repeats(suffixes: DataFrame, window: int, slots: int) -> DataFrame:
         length = counts + window - 1
         base = np.repeat(np.cumsum(length) - length, counts)
         k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids, starts = np.repeat(ids, counts), np.repeat(starts, counts).astype(np.int64) + k
-        rows = repeated_leaves(flat[(base + k)[:, None] + np.arange(window)], ids, starts)
-        yield from by_slot(ids[rows], starts[rows], 0, slots)
+        ids, starts, at = np.repeat(ids, counts), np.repeat(starts, counts).astype(np.int64) + k, base + k
+        # subtrees by first word, a memory-sized number of suffixes at a time
+        groups = -(-len(at) // SUFFIXES_AT_ONCE)
+        for _, own in dealt((mix(flat[at]) % np.uint64(groups)).astype(np.int64), groups):
+            rows = own[repeated_leaves(flat[at[own][:, None] + np.arange(window)], ids[own], starts[own])]
+            found.append((ids[rows], starts[rows]))
+        yield from by_slot(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), 0, slots)
 
     return suffixes.mapInArrow(run, ROWS)
 
