@@ -273,3 +273,14 @@ def test_plans_stay_narrow(spark, tmp_path):
     spark.createDataFrame([(i, "a@b.co", "x") for i in range(10)], "doc_id int, text string, other string").write.parquet(f"{tmp_path}/d")
     plan = D.detect(spark.read.parquet(f"{tmp_path}/d")).where("doc_id < 5").select("doc_id", "spans")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "LessThan(doc_id,5)" in plan and "Exchange" not in plan and "other" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_sql_functions(spark):
+    from veilspan.functions.registered import register
+
+    register(spark)
+    spark.createDataFrame([(1, "mail a@b.co or 10.0.0.1"), (2, None)], "id int, text string").createOrReplaceTempView("mails")
+    rows = spark.sql("SELECT id, s.* FROM mails, LATERAL pii_spans(text) s ORDER BY start").collect()
+    assert [tuple(r) for r in rows] == [(1, "private_email", 5, 11, "a@b.co"), (1, "secret", 15, 23, "10.0.0.1")]
+    assert spark.sql("SELECT pii_redact(text) FROM mails WHERE id = 1").first()[0] == "mail <REDACTED> or <REDACTED>"
+    assert D.detect(spark.createDataFrame([(synth.long_text(4000),)], "text string")).first().spans[0].text == "alice@example.com"
