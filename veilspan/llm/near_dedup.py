@@ -6,9 +6,10 @@ on the first three minima of an order share a region, whatever its size, so a pa
 about 3 of 10 million cases.
 
 Round one walks a crowded order from neighbour to neighbour: blocks of classes with the longest common prefixes are confirmed and
-joined. Round two takes each region anew and proposes every pair whose signatures admit the threshold and whose classes are not yet
-connected; in a sparse region that is at once all there is, in a crowded one only what the walk has not reached, so depth adapts to the
-region and nothing is capped. Every link is confirmed on both sets.
+joined. Round two takes each region anew and finds the classes with a partner that their signatures admit and that is not yet
+connected: in a sparse region all that there is, in a crowded one what the walk has not reached, so depth adapts to the region and
+nothing is capped. Of these, pairs are tried that share one of the rarest shingles which two linked sets must share. Every link is
+confirmed on both sets.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lowered, document_shingles, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
 from .components import UnionFind, connected_components
+from .rare_prefix import grouped, rare_prefix_pairs
 
 MINIMA, TREES, DEPTH = 64, 21, 3
 #: Classes of a walked block; the last of a block is the first of the next.
@@ -97,33 +99,12 @@ def forest_regions(classes: DataFrame) -> DataFrame:
     return keys.withColumn("members", F.count("*").over(Window.partitionBy("region"))).where("members > 1")
 
 
-def _grouped(batches, key: str):
-    """Tables of the rows of one key each, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        values = np.asarray(batch.column(key))
-        if not len(values):
-            continue
-        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
-        if held and np.asarray(held[-1].column(key))[-1] != values[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        at = 0
-        for cut in cuts:
-            held.append(batch.slice(at, cut - at))
-            yield pa.Table.from_batches(held)
-            held, at = [], cut
-        held.append(batch.slice(at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _walk_blocks(members: DataFrame) -> DataFrame:
     """(block, center, doc_id) from members (region, tree, doc_id, signature): runs of BLOCK neighbours in the region's order."""
 
     def run(batches):
         ids, blocks = [], []
-        for group in _grouped(batches, "region"):
+        for group in grouped(batches, "region"):
             region, tree = group.column("region")[0].as_py(), group.column("tree")[0].as_py()
             own = np.asarray(group.column("doc_id"))
             order = np.roll(_signature_rows(group.column("signature")), -tree * DEPTH, axis=1).astype(">u2")
@@ -145,31 +126,40 @@ def _walk_blocks(members: DataFrame) -> DataFrame:
     return members.repartition(partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "block bigint, center boolean, doc_id bigint")
 
 
-def _unconnected_pairs(members: DataFrame, share: float) -> DataFrame:
-    """(a, b), a < b, of each region of members (region, doc_id, n_shingles, signature, component): pairs of unconnected classes whose sizes and signatures admit the threshold."""
+def _unconnected(members: DataFrame, share: float) -> DataFrame:
+    """(doc_id, component) of members (region, doc_id, n_shingles, signature, component) that have, in some region, an unconnected class whose size and signature admit the threshold."""
 
     def run(batches):
-        for group in _grouped(batches, "region"):
+        for group in grouped(batches, "region"):
             component = np.asarray(group.column("component"))
             if (component == component[0]).all():
                 continue
-            sizes = np.asarray(group.column("n_shingles"))
-            order = np.argsort(sizes, kind="stable")
-            sizes, component, ids = sizes[order], component[order], np.asarray(group.column("doc_id"))[order]
-            rows = _signature_rows(group.column("signature"))[order]
-            ends = np.searchsorted(sizes, sizes / share + 1e-9, side="right")
+            sizes, ids, rows = np.asarray(group.column("n_shingles")), np.asarray(group.column("doc_id")), _signature_rows(group.column("signature"))
             labels, counts = np.unique(component, return_counts=True)
-            largest = labels[np.argmax(counts)]
-            for i in range(len(ids)):
-                span = slice(i + 1, int(ends[i]))
-                other = np.flatnonzero(component[span] != component[i]) + i + 1
-                if component[i] == largest and not len(other):
-                    continue
+            flags = np.zeros(len(ids), dtype=bool)
+            for i in np.flatnonzero(component != labels[np.argmax(counts)]):
+                other = np.flatnonzero((component != component[i]) & (np.minimum(sizes, sizes[i]) >= share * np.maximum(sizes, sizes[i]) - 1e-9))
                 hit = other[(rows[other] == rows[i]).mean(axis=1) >= LEAST_AGREEMENT]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[i])), pa.array(np.maximum(ids[hit], ids[i]))], names=["a", "b"])
+                flags[hit] = True
+                flags[i] |= len(hit) > 0
+            if flags.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[flags]), pa.array(component[flags])], names=["doc_id", "component"])
+
+    return members.repartition(partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "doc_id bigint, component bigint").distinct()
+
+
+def _prefix_pairs(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b), a < b, of documents (doc_id, component, text) of different components that share one of their rarest shingles."""
+
+    def shingles(batches):
+        for b in slices(batches):
+            offsets, hashes = text_shingles(text_array(b.column("text")), width)
+            counts = np.diff(offsets)
+            owner = np.repeat(np.arange(b.num_rows), counts)
+            columns = [hashes.view(np.int64), np.asarray(b.column("doc_id"))[owner], np.asarray(b.column("component"))[owner], counts[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "item", "component", "size"])
 
-    return members.repartition(partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    return rare_prefix_pairs(documents.mapInArrow(shingles, "token bigint, item bigint, component bigint, size bigint"), percent)
 
 
 def _center_blocks(pairs: DataFrame) -> DataFrame:
@@ -189,7 +179,7 @@ def confirmed_links(blocks: DataFrame, texts: DataFrame, width: int, percent: in
         return 100 * both >= percent * (len(x) + len(y) - both)
 
     def run(batches):
-        for group in _grouped(batches, "block"):
+        for group in grouped(batches, "block"):
             offsets, hashes = text_shingles(text_array(group.column("text")), width)
             sets = [hashes[offsets[i] : offsets[i + 1]] for i in range(group.num_rows)]
             ids = np.asarray(group.column("doc_id"))
@@ -235,7 +225,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     links = stored(confirmed_links(blocks, texts, width, percent), "links")
     joined = connected_components(links)
     labelled = regions.join(wide, "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    pairs = stored(_unconnected_pairs(labelled.select("region", "doc_id", "n_shingles", "signature", "component"), percent / 100), "pairs")
+    apart = stored(_unconnected(labelled.select("region", "doc_id", "n_shingles", "signature", "component"), percent / 100), "apart")
+    pairs = stored(_prefix_pairs(texts.join(apart, "doc_id"), width, percent), "pairs")
     more = stored(confirmed_links(_center_blocks(pairs), texts, width, percent), "links")
     components = connected_components(links.unionByName(more)) if more.head(1) else joined
     of_class = classes.select("digest", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
