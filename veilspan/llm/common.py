@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when their plans are collected: those behind a written table are of no more use
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,11 +98,19 @@ def space_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return offsets, pc.dictionary_encode(words)
 
 
-def word_hashes(words: pa.DictionaryArray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word."""
-    digest = xxhash.xxh3_64_intdigest
-    unique = np.fromiter((digest(w, seed) for w in words.dictionary.to_pylist()), dtype=np.uint64, count=len(words.dictionary))
-    return unique[np.asarray(words.indices)] if len(words) else np.zeros(0, dtype=np.uint64)
+def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
+    """64-bit hash of each word: the mixed sum of mixed pairs of a byte and its place, which no other word of the same length shares but by chance."""
+    unique = words.dictionary
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    _, offsets, data = unique.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[unique.offset : unique.offset + len(unique) + 1]
+    at = ends[:-1] - ends[0]
+    length = np.diff(ends)
+    letters = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    place = np.arange(len(letters), dtype=np.int64) - np.repeat(at, length)
+    sums = np.add.reduceat(mix(letters + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), at)
+    return mix(sums + length.astype(np.uint64))[np.asarray(words.indices)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

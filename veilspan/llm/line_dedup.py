@@ -36,7 +36,7 @@ def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         return owner, number, np.zeros(len(owner) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     size = len(words.dictionary)
     line = np.repeat(np.arange(len(owner)), np.diff(offsets))
-    keys = np.unique(line * size + np.asarray(words.indices).astype(np.int64))
+    keys = np.asarray(pc.unique(pa.array(line * size + np.asarray(words.indices))))  # in order of the lines
     line, code = np.divmod(keys, size)
     hashes = word_hashes(pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), words.dictionary))
     return owner, number, np.searchsorted(line, np.arange(len(owner) + 1)), hashes
@@ -75,8 +75,9 @@ def least_common(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
 
-#: token, digest, sketch, size, position, document, line
-_POSTING = ("<u4", "<u8", "<u8", "<u4", "<u4", "<u4", "<u4")
+def _posting_types(wide: bool) -> tuple[str, ...]:
+    """token, digest, sketch, then size, position, document and line, which mostly fit 16 bits."""
+    return ("<u4", "<u4", "<u8", *("<u4" if wide else "<u2",) * 4)
 
 
 def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: int) -> DataFrame:
@@ -121,15 +122,18 @@ def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: in
             for p, own in dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
                 used, index = np.unique(owner[line[own]], return_inverse=True)
                 parts.append(p), kinds.append(0)
-                blobs.append(pack(ids[used], (hashes[own] >> np.uint64(32)).astype("<u4"), digest[line[own]], sketch[line[own]], size[line[own]].astype("<u4"), position[own].astype("<u4"), index.astype("<u4"), number[line[own]].astype("<u4")))
+                small = [size[line[own]], position[own], index, number[line[own]]]
+                wide = max(int(x.max()) for x in small) > 0xFFFF
+                columns = [(hashes[own] >> np.uint64(32)), digest[line[own]] >> np.uint64(32), sketch[line[own]], *small]
+                blobs.append(bytes([wide]) + pack(ids[used], *(x.astype(t) for x, t in zip(columns, _posting_types(wide), strict=True))))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "block"])
 
     return documents.mapInArrow(run, "part int, kind int, block binary").repartition(n, "part")
 
 
 def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
-    """ROWS for documents: kind 0 lines that repeat an earlier set; kind 1 lines of pairs to verify, as (line, pair, later document, later
-    line), for each later line and word the closest by sketch; kind 2 lines of the other candidates."""
+    """ROWS for documents: kind 0 lines that repeat an earlier set; kind 1 for each later line and word the candidate that is closest by
+    sketch, as (line, earlier document, earlier line, whether there are others); kind 2 all lines of candidates."""
 
     def run(batches):
         columns: list[list[np.ndarray]] = []
@@ -138,7 +142,7 @@ def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
                 if kind == 1:
                     yield from by_slot(*unpack(blob, "<i8", "<i8"), 0, slots)
                 else:
-                    ids, *rest, index, line = unpack(blob, "<i8", *_POSTING)
+                    ids, *rest, index, line = unpack(blob[1:], "<i8", *_posting_types(bool(blob[0])))
                     columns.append([*rest, ids[index], line.astype(np.int64)])
         if not columns:
             return
@@ -160,22 +164,16 @@ def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
         best = np.ones(len(later), dtype=bool)
         best[1:] = later[1:] != later[:-1]
         several = np.isin(later, later[~best])
-        open_rows = np.unique(np.concatenate([later[several], earlier[several]]))
-        yield from by_slot(doc[open_rows], line[open_rows], 2, slots)
-        later, earlier = later[best], earlier[best]
-        pair = np.zeros(len(later), dtype=np.uint64)
-        for x in (doc[later], line[later], doc[earlier], line[earlier]):
-            pair = mix(pair * np.uint64(31) + x.astype(np.uint64) + np.uint64(1))
-        own = np.concatenate([later, earlier])
-        needs = np.stack([line[own], np.tile(pair.view(np.int64), 2), np.tile(doc[later], 2), np.tile(line[later], 2)], axis=1)
-        yield from by_slot(doc[own], needs, 1, slots)
+        yield from by_slot(doc[later[best]], np.stack([line[later], doc[earlier], line[earlier], several.astype(np.int64)], axis=1)[best], 1, slots)
+        sides = np.unique(np.concatenate([later, earlier[best | several]]))
+        yield from by_slot(doc[sides], line[sides], 2, slots)
 
     return blocks.mapInArrow(run, ROWS)
 
 
-TABLE = "kind string, doc_id bigint, n_lines bigint, n_removed bigint, text string, extra string, pair bigint, line bigint, block binary"
-_NAMES = ["kind", "doc_id", "n_lines", "n_removed", "text", "extra", "pair", "line", "block"]
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+TABLE = "kind string, doc_id bigint, n_lines bigint, n_removed bigint, text string, extra string, line bigint, other_doc bigint, other_line bigint, several boolean, block binary"
+_NAMES = ["kind", "doc_id", "n_lines", "n_removed", "text", "extra", "line", "other_doc", "other_line", "several", "block"]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
 
 def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,41 +187,42 @@ def _without(text: str, removed: set[int]) -> tuple[int, int, str]:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """TABLE: documents without a line to verify are done; the others stay open; sets of lines to verify stand by pair, those of other candidates by line."""
+    """TABLE: documents without a later line of a pair are done; the others stay open; pairs to verify; and the sets of all lines of pairs."""
+
+    def member_rows(wanted: list[tuple[int, int, str]]) -> list[tuple]:
+        if not wanted:
+            return []
+        _, _, offsets, hashes = line_sets(pa.array([x[2] for x in wanted], pa.large_string()))
+        return [("member", doc, None, None, None, None, line, None, None, None, np.sort(hashes[offsets[i] : offsets[i + 1]]).tobytes()) for i, (doc, line, _) in enumerate(wanted)]
 
     def run(batches):
+        empty = (None,) * 5
         out: list[tuple] = []
+        wanted: list[tuple[int, int, str]] = []
         size, before = 0, None
         for doc, text, extra, found in documents_of(batches, {0: 1, 1: 4, 2: 1}):
-            removed, needs, members = found[0].ravel(), np.unique(found[1], axis=0), np.unique(found[2])
-            waits = len(members) > 0 or bool((needs[:, 2] == doc).any())
+            removed, pairs, members = found[0].ravel(), np.unique(found[1], axis=0), np.unique(found[2])
             size += len(text)
-            if waits:
-                out.append(("open", doc, None, None, text, extra, None, None, None))
+            if len(pairs):
+                out.append(("open", doc, None, None, text, extra, *empty))
             elif len(removed):
-                out.append(("done", doc, *_without(text, set(removed.tolist())), extra, None, None, None))
+                out.append(("done", doc, *_without(text, set(removed.tolist())), extra, *empty))
             else:
-                out.append(("done", doc, text.count("\n") + 1, 0, text, extra, None, None, None))
+                out.append(("done", doc, text.count("\n") + 1, 0, text, extra, *empty))
             if doc == before:
                 continue
             before = doc
-            if waits and len(removed):
-                out.append(("removed", None, None, None, None, None, None, None, pack(np.full(len(removed), doc, dtype="<i8"), removed)))
-            if len(needs) or len(members):
-                _, _, offsets, hashes = line_sets(pa.array([text], pa.large_string()))
-                for line in members.tolist():
-                    own = np.sort(hashes[offsets[line] : offsets[line + 1]])
-                    out.append(("member", doc, None, None, None, None, None, line, own.tobytes()))
-                    size += 8 * len(own)
-                for line, pair, later, later_line in needs.tolist():
-                    own = np.sort(hashes[offsets[line] : offsets[line + 1]])
-                    out.append(("set", later, None, None, None, None, pair, later_line, own.tobytes()))
-                    size += 8 * len(own)
+            if len(pairs) and len(removed):
+                out.append(("removed", None, None, None, None, None, None, None, None, None, pack(np.full(len(removed), doc, dtype="<i8"), removed)))
+            for line, other, other_line, several in pairs.tolist():
+                out.append(("pair", doc, None, None, None, None, line, other, other_line, bool(several), None))
+            lines = text.split("\n") if len(members) else []
+            wanted += [(doc, line, lines[line]) for line in members.tolist()]
             if size > _TAKEN // 2:
-                yield _table_batch(out)
-                out, size = [], 0
+                yield _table_batch(out + member_rows(wanted))
+                out, wanted, size = [], [], 0
         if out:
-            yield _table_batch(out)
+            yield _table_batch(out + member_rows(wanted))
 
     return rows.mapInArrow(run, TABLE)
 
@@ -246,27 +245,21 @@ def _similar(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, line) of the later lines of pairs whose sets are similar, from sets (pair, doc_id, line, block) sorted by pair."""
+def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line) of pairs (doc_id, line, other_doc, other_line) of members (doc_id, line, block) whose sets are similar."""
 
     def run(batches):
-        held = None
         for b in batches:
-            found = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("pair", "doc_id", "line", "block")), strict=True):
-                if held is None or held[:3] != row[:3]:
-                    held = row
-                    continue
-                if _similar(held[3], row[3], percent):
-                    found.append(row[1:3])
-                held = None
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "line"])
+            fits = pa.array([_similar(x, y, percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("line")], names=["doc_id", "line"]).filter(fits)
 
-    return sets.mapInArrow(run, "doc_id bigint, line bigint").distinct()
+    other = members.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("block").alias("y"))
+    both = pairs.join(members.withColumnRenamed("block", "x"), ["doc_id", "line"]).join(other, ["other_doc", "other_line"])
+    return both.select("doc_id", "line", "x", "y").mapInArrow(run, "doc_id bigint, line bigint").distinct()
 
 
-def _verified_rest(members: DataFrame, resolved: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, line) of the members (doc_id, line, block) that are similar to an earlier one, without those resolved already."""
+def _verified_rest(members: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line) of the lines left (doc_id, line) that are similar to an earlier one of the members (doc_id, line, block)."""
 
     def tokens(batches):
         for b in batches:
@@ -287,9 +280,9 @@ def _verified_rest(members: DataFrame, resolved: DataFrame, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "line"])
 
     item = F.xxhash64("doc_id", "line")
-    is_open = members.join(resolved.withColumn("done", F.lit(True)), ["doc_id", "line"], "left").withColumn("item", item)
-    # an open line is a component of its own, so it is paired with all others; resolved ones are not paired among themselves
-    is_open = stored(is_open.select("doc_id", "line", "block", "item", F.when(F.col("done"), F.lit(0)).otherwise(F.col("item")).alias("component")), "members")
+    # a line that is left is a component of its own, so it is paired with all others; others are not paired among themselves
+    marked = members.join(left.withColumn("left", F.lit(True)), ["doc_id", "line"], "left").withColumn("item", item)
+    is_open = stored(marked.select("doc_id", "line", "block", "item", F.when(F.col("left"), F.col("item")).otherwise(F.lit(0)).alias("component")), "members")
     pairs = stored(rare_prefix_pairs(is_open.mapInArrow(tokens, "token bigint, item bigint, component bigint, size bigint"), percent), "pairs")
     side = lambda own, p: is_open.select(F.col("item").alias(own), F.col("block").alias(p), F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), (F.col("component") != 0).alias(f"{p}o"))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(verify, "doc_id bigint, line bigint").distinct()
@@ -310,7 +303,7 @@ def _finished(rows: DataFrame) -> DataFrame:
         out: list[tuple] = []
         size = 0
         for doc, text, extra, found in documents_of(batches, {0: 1}):
-            out.append(("done", doc, *_without(text, set(found[0].ravel().tolist())), extra, None, None, None))
+            out.append(("done", doc, *_without(text, set(found[0].ravel().tolist())), extra, *(None,) * 5))
             size += len(text)
             if size > _TAKEN // 2:
                 yield _table_batch(out)
@@ -337,11 +330,14 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     candidates = _candidates(_prefix_blocks(documents.select("doc_id", "text"), word_counts(documents), percent, n), percent, slots)
     texts = text_rows(documents, slots, F.col("extra"))
     judged = stored(_judged(to_slots(texts.unionByName(candidates), n)), "judged")
-    sets = judged.where("kind = 'set'").select("pair", "doc_id", "line", "block").repartition(n, "pair").sortWithinPartitions("pair", "doc_id", "line")
+    members = judged.where("kind = 'member'").select("doc_id", "line", "block").distinct()
+    pairs = judged.where("kind = 'pair'").select("doc_id", "line", "other_doc", "other_line", "several")
     opened = text_rows(judged.where("kind = 'open'"), slots, F.col("extra"))
     decided = _again(judged.where("kind = 'removed'"), slots)
-    resolved = stored(_verified(sets, percent), "resolved")
-    rest = _verified_rest(judged.where("kind = 'member'").select("doc_id", "line", "block"), resolved, percent)
+    members = stored(members, "members")
+    resolved = stored(_verified(pairs.drop("several").distinct(), members, percent), "resolved")
+    left = pairs.where("several").select("doc_id", "line").distinct().join(resolved, ["doc_id", "line"], "left_anti")
+    rest = _verified_rest(members, left, percent)
     removed = decided.unionByName(_line_blocks(resolved.unionByName(rest), slots))
     finished = _finished(to_slots(opened.unionByName(removed), n))
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept"), "extra")

@@ -9,7 +9,6 @@ lengths of neighbours; its internal nodes of depth `window` or more are the repe
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
