@@ -9,6 +9,8 @@ counted among them alone, and verified. Of two similar lines the later one goes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -180,13 +182,14 @@ def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _without(text: str, removed: set[int]) -> tuple[int, int, str]:
+def _without(text: str, removed: set[int], digests: bool) -> tuple[int, int, str]:
     lines = text.split("\n")
     kept = [x for i, x in enumerate(lines) if i not in removed]
-    return len(lines), len(lines) - len(kept), "\n".join(kept)
+    left = "\n".join(kept)
+    return len(lines), len(lines) - len(kept), hashlib.sha256(left.encode()).hexdigest() if digests else left
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, digests: bool) -> DataFrame:
     """TABLE: documents without a later line of a pair are done; the others stay open; pairs to verify; and the sets of all lines of pairs."""
 
     def member_rows(wanted: list[tuple[int, int, str]]) -> list[tuple]:
@@ -205,10 +208,8 @@ def _judged(rows: DataFrame) -> DataFrame:
             size += len(text)
             if len(pairs):
                 out.append(("open", doc, None, None, text, extra, *empty))
-            elif len(removed):
-                out.append(("done", doc, *_without(text, set(removed.tolist())), extra, *empty))
             else:
-                out.append(("done", doc, text.count("\n") + 1, 0, text, extra, *empty))
+                out.append(("done", doc, *_without(text, set(removed.tolist()), digests), extra, *empty))
             if doc == before:
                 continue
             before = doc
@@ -298,12 +299,12 @@ def _line_blocks(lines: DataFrame, slots: int) -> DataFrame:
     return lines.select("doc_id", "line").mapInArrow(run, ROWS)
 
 
-def _finished(rows: DataFrame) -> DataFrame:
+def _finished(rows: DataFrame, digests: bool) -> DataFrame:
     def run(batches):
         out: list[tuple] = []
         size = 0
         for doc, text, extra, found in documents_of(batches, {0: 1}):
-            out.append(("done", doc, *_without(text, set(found[0].ravel().tolist())), extra, *(None,) * 5))
+            out.append(("done", doc, *_without(text, set(found[0].ravel().tolist()), digests), extra, *(None,) * 5))
             size += len(text)
             if size > _TAKEN // 2:
                 yield _table_batch(out)
@@ -314,12 +315,13 @@ def _finished(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, TABLE)
 
 
-def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | None = None) -> DataFrame:
+def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | None = None, digests: bool = False) -> DataFrame:
     """documents (doc_id, text) as doc_id, n_lines, n_removed, kept, extra: without the lines that are similar to an earlier line of any document.
 
     Lines end at \\n; a line is the set of its words between ASCII white space, A-Z lower-cased. Lines without words stay. Lines are
     similar where 100 * intersection >= percent * union; earlier means a smaller doc_id, or the same and a smaller line number, whether
-    or not the earlier line itself goes. kept joins the other lines. extra names a string column that is passed through. A null text is
+    or not the earlier line itself goes. kept joins the other lines, or with digests is the SHA-256 of that,
+    so that no text has to be written that is not open to a second look. extra names a string column that is passed through. A null text is
     one empty line. Rows of equal doc_id and text are one document, returned as often; of several texts under one doc_id, lines of equal
     number are not earlier than one another. Rows with a null doc_id are left out; an empty table gives no rows.
     """
@@ -329,7 +331,7 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     slots = SLOTS_PER_PARTITION * n
     candidates = _candidates(_prefix_blocks(documents.select("doc_id", "text"), word_counts(documents), percent, n), percent, slots)
     texts = text_rows(documents, slots, F.col("extra"))
-    judged = stored(_judged(to_slots(texts.unionByName(candidates), n)), "judged")
+    judged = stored(_judged(to_slots(texts.unionByName(candidates), n), digests), "judged")
     members = judged.where("kind = 'member'").select("doc_id", "line", "block").distinct()
     pairs = judged.where("kind = 'pair'").select("doc_id", "line", "other_doc", "other_line", "several")
     opened = text_rows(judged.where("kind = 'open'"), slots, F.col("extra"))
@@ -339,9 +341,9 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     left = pairs.where("several").select("doc_id", "line").distinct().join(resolved, ["doc_id", "line"], "left_anti")
     rest = _verified_rest(members, left, percent)
     removed = decided.unionByName(_line_blocks(resolved.unionByName(rest), slots))
-    finished = _finished(to_slots(opened.unionByName(removed), n))
+    finished = _finished(to_slots(opened.unionByName(removed), n), digests)
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept"), "extra")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_similar_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_similar_lines(table(spark, sf_dir, "documents"), digests=True).select("doc_id", "n_lines", "n_removed", F.col("kept").alias("kept_sha256"))
