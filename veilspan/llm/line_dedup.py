@@ -3,8 +3,8 @@
 A line is the set of its words. Words are ordered by rarity, that is by the counts of their hash buckets over all documents, then by
 hash; two sets of Jaccard similarity t share a word among the first |x| - ceil(t |x|) + 1 of each. These prefixes are joined; pairs must
 pass the length filter, the positional filter, and a bound on the symmetric difference from a 64-bit parity sketch. For each later line
-the closest candidate of each word is verified on both sets; where that fails and there are others, these are joined anew with rarity
-counted among them alone, and verified. Of two similar lines the later one goes.
+the closest candidate of each word is verified on both sets; where that fails and there are others, the line meets
+these anew through its rarest words as counted among them alone, and is verified. Of two similar lines the later one goes.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, text_rows, to_slots, unpack
 from .common import ascii_lowered, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
-from .rare_prefix import rare_prefix_pairs, similar_candidates
+from .rare_prefix import similar_candidates
 
 #: Buckets of word counts, whatever the corpus: 4 MB where they are broadcast.
 COUNT_BITS = 20
@@ -259,6 +259,14 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return both.select("doc_id", "line", "x", "y").mapInArrow(run, "doc_id bigint, line bigint").distinct()
 
 
+#: Words of open lines are broadcast up to so many rows (of under 40 bytes); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _verified_rest(members: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line) of the lines left (doc_id, line) that are similar to an earlier one of the members (doc_id, line, block)."""
 
@@ -267,8 +275,8 @@ def _verified_rest(members: DataFrame, left: DataFrame, percent: int) -> DataFra
             sets = [np.frombuffer(x, dtype=np.int64) for x in b.column("block").to_pylist()]
             if sets:
                 size = np.array([len(x) for x in sets])
-                columns = [np.concatenate(sets), np.repeat(np.asarray(b.column("item")), size), np.repeat(np.asarray(b.column("component")), size), np.repeat(size, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "item", "component", "size"])
+                columns = [np.concatenate(sets), np.repeat(np.asarray(b.column("item")), size), np.repeat(size, size)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "item", "size"])
 
     def verify(batches):
         for b in batches:
@@ -281,11 +289,21 @@ def _verified_rest(members: DataFrame, left: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "line"])
 
     item = F.xxhash64("doc_id", "line")
-    # a line that is left is a component of its own, so it is paired with all others; others are not paired among themselves
-    marked = members.join(left.withColumn("left", F.lit(True)), ["doc_id", "line"], "left").withColumn("item", item)
-    is_open = stored(marked.select("doc_id", "line", "block", "item", F.when(F.col("left"), F.col("item")).otherwise(F.lit(0)).alias("component")), "members")
-    pairs = stored(rare_prefix_pairs(is_open.mapInArrow(tokens, "token bigint, item bigint, component bigint, size bigint"), percent), "pairs")
-    side = lambda own, p: is_open.select(F.col("item").alias(own), F.col("block").alias(p), F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), (F.col("component") != 0).alias(f"{p}o"))
+    marked = members.join(left.withColumn("open", F.lit(True)), ["doc_id", "line"], "left").withColumn("item", item).withColumn("open", F.coalesce("open", F.lit(False)))
+    marked = stored(marked.select("doc_id", "line", "block", "item", "open"), "members")
+    every = marked.select("block", "item").mapInArrow(tokens, "token bigint, item bigint, size bigint")
+    own = stored(marked.where("open").select("block", "item").mapInArrow(tokens, "token bigint, item bigint, size bigint"), "own")
+    counts = every.join(_bounded(own.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("count"))
+    # an open line's rarest words, of which any similar set has one; words of its own line alone can't be shared, they only take the first places
+    placed = own.join(counts, "token").withColumn("position", F.row_number().over(Window.partitionBy("item").orderBy("count", "token")) - 1)
+    prefix = placed.where((F.col("position") <= F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100)) & (F.col("count") > 1))
+    prefix = stored(prefix.select("token", F.col("item").alias("a"), "position", F.col("size").alias("own_size")), "prefix")
+    met = every.join(_bounded(prefix), "token").where("item <> a")
+    both = F.col("size") + F.col("own_size")
+    common = F.least(F.col("own_size") - F.col("position"), F.col("size"))
+    fits = (100 * F.least("size", "own_size") >= percent * F.greatest("size", "own_size")) & (common * (100 + percent) >= percent * both)
+    pairs = stored(met.where(fits).select("a", F.col("item").alias("b")).distinct(), "pairs")
+    side = lambda own, p: marked.select(F.col("item").alias(own), F.col("block").alias(p), F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), F.col("open").alias(f"{p}o"))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(verify, "doc_id bigint, line bigint").distinct()
 
 
