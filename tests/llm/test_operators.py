@@ -135,6 +135,19 @@ def test_toxicity(spark, docs, none):
     assert 0 <= empty.scores(np.array([0, 0]), np.zeros(0, dtype=np.int64))[0] <= 1
 
 
+def test_toxicity_learns_crossed_pairs():
+    r = random.Random(3)
+    pairs = [("alpha", "bravo"), ("gamma", "delta"), ("alpha", "delta"), ("gamma", "bravo")]  # the first two are toxic; no word alone tells
+    texts = [" ".join(r.sample([f"w{r.randrange(60)}" for _ in range(10)] + list(pairs[i % 4]), 12)) for i in range(600)]
+    labels = np.array([int(i % 4 < 2) for i in range(600)])
+    offsets, slots = toxicity.term_slots(pa.array(texts, pa.large_string()))
+    machine = toxicity.fit_machine([slots[offsets[i] : offsets[i + 1]] for i in range(400)], labels[:400])
+    right = lambda m: np.mean((m.scores(offsets, slots) >= 0.5)[400:] == labels[400:])
+    assert right(machine) > 0.9
+    machine.factors[:] = 0
+    assert right(machine) < 0.7  # without the pair term the predictions change
+
+
 def test_fingerprints(docs, none):
     order = sorted((d, t or "") for d, t, _ in ROWS)
     rows = sorted(lz_fingerprint.fingerprint_edits(docs).collect())

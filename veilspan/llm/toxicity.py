@@ -20,6 +20,10 @@ from .common import slices, space_words, table, text_array
 
 SLOT_BITS = 18
 FACTORS = 4
+#: The root of the sum of the squared shares of a text: at 1, a pair of a long text weighs too little to be learnt.
+SHARE_NORM = 2
+#: A slot's factors move at half speed if it occurs in so many documents, slower if in fewer: pairs of rare slots would learn their few documents by heart.
+STEADY_DOCUMENTS = 200
 #: Word beginnings that are terms of their own, by number of letters.
 BEGINNINGS = (4, 6)
 #: The machine is fitted on at most so many labelled documents: those whose ids have the smallest hashes.
@@ -30,7 +34,7 @@ LEAST_DOCUMENTS = 3
 
 @dataclass
 class FactorizationMachine:
-    """weights: of a slot's presence. factors: of its share of a text, which is its rarity over the norm of all rarities of the text, so that long texts don't drown in pairs."""
+    """weights: of a slot's presence. factors: of its share of a text, which is SHARE_NORM times its rarity over the norm of all rarities of the text, so that long texts don't drown in pairs."""
 
     bias: float
     weights: np.ndarray
@@ -50,7 +54,7 @@ class FactorizationMachine:
 
 def shares(rarity: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     norm = np.sqrt(np.bincount(owner, rarity.astype(np.float64) ** 2, minlength=n))
-    return rarity / np.where(norm > 0, norm, 1)[owner]
+    return SHARE_NORM * rarity / np.where(norm > 0, norm, 1)[owner]
 
 
 def _slots(strings: pa.Array, seed: int) -> np.ndarray:
@@ -77,7 +81,7 @@ def term_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(keys >> SLOT_BITS, np.arange(n + 1)).astype(np.int64), keys & (1 << SLOT_BITS) - 1
 
 
-def fit_machine(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.2, sparsity: float = 2.0, decay: float = 1e-3, batch: int = 32, seed: int = 7) -> FactorizationMachine:
+def fit_machine(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.2, sparsity: float = 2.0, decay: float = 1e-2, batch: int = 32, seed: int = 7) -> FactorizationMachine:
     """Fits slot sets to labels: follow-the-regularized-leader with an L1 penalty for the weights, AdaGrad for the factors.
 
     The penalty leaves slots without clear evidence at zero. Slots of fewer than LEAST_DOCUMENTS documents take no part. Without both
@@ -98,8 +102,9 @@ def fit_machine(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 6
     rows = [dense[d[frequent[d]]] for d in documents]
     random = np.random.default_rng(seed)
     w, z, nw = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    v = random.normal(0, 0.01, (len(used), FACTORS))
-    gv, gb = np.full(v.shape, 1e-2), 1e-2
+    v = random.normal(0, 0.1, (len(used), FACTORS))
+    speed = rate * (seen[used] / (seen[used] + STEADY_DOCUMENTS))[:, None]
+    gv, gb = np.full(v.shape, 1e-3), 1e-2
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
@@ -126,7 +131,7 @@ def fit_machine(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 6
             slope = error[owner, None] * x[:, None] * (sums[owner] - vx)
             slope = np.stack([np.bincount(place, slope[:, k]) for k in range(FACTORS)], axis=1) + decay * v[unique]
             gv[unique] += slope**2
-            v[unique] -= 0.1 * rate * slope / np.sqrt(gv[unique])
+            v[unique] -= speed[unique] * slope / np.sqrt(gv[unique])
             gb += error.sum() ** 2
             machine.bias -= 0.1 * rate * error.sum() / np.sqrt(gb)
     machine.weights[used], machine.factors[used], machine.rarity[used] = w, v, rarity
