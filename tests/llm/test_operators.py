@@ -194,6 +194,22 @@ def test_chat_format(spark):
     assert counting[1].rewrites
 
 
+def test_long_conversations_of_any_template(spark):
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(43)]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    numbered = lambda ts: "<s>" + "".join(f"{k} {r}: {t}\n" for k, (r, t) in enumerate(ts))
+    rows = chat_format.format_conversations(df, numbered).orderBy("position").collect()
+    assert "".join(r.piece for r in rows) == numbered(turns) and not any(r.rewrites_history for r in rows)
+    assert all(numbered(turns)[r.start : r.end] == r.piece and r.segment == 0 for r in rows)
+    dropping = lambda ts: "<s>" + "".join(f"{r}: {t}\n" for k, (r, t) in enumerate(ts) if k != 5 or len(ts) <= 40)
+    rows = chat_format.format_conversations(df, dropping).orderBy("position").collect()
+    assert [r.position for r in rows if r.rewrites_history] == [40]
+    assert all(dropping(turns[: k + 1])[r.start : r.end] == r.piece and r.end == len(dropping(turns[: k + 1])) for k, r in enumerate(rows))
+    window = lambda ts: "".join(f"{r}: {t}\n" for r, t in ts[-36:])
+    assert [k for k, p in enumerate(chat_format.rendered_pieces(turns, window)) if p.rewrites] == list(range(36, 43))
+    assert sum(p.new_segment for p in chat_format.rendered_pieces(turns, window, concatenative=True)) == 2
+
+
 def test_line_dedup(docs, none):
     sets, expected = [], {}
     for d, t in by_id():

@@ -20,7 +20,7 @@ from .common import table
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: A longer conversation is rendered in segments: of at most so many turns, and closed once so many characters long.
+#: A longer conversation is rendered in segments if its template is concatenative: of at most so many turns, and closed once so many characters long.
 SEGMENT_TURNS, SEGMENT_CHARS = 32, 1 << 20
 
 _CONTROL = re.compile(r"[\\#<]")
@@ -48,9 +48,10 @@ def read_marked(piece: str) -> tuple[Turn, tuple[int, int]]:
 
 @dataclass
 class Piece:
-    """What one turn added to the output. rewrites: the output before was not kept; then text is all that follows the common part."""
+    """What one turn added to the output, from start on. rewrites: the output before was not kept; then text is all that follows the common part."""
 
     role: str
+    start: int
     text: str
     new_segment: bool
     rewrites: bool
@@ -64,21 +65,28 @@ def common_length(a: str, b: str) -> int:
     return low
 
 
-def rendered_pieces(turns: Iterable[Turn], template: Template) -> Iterator[Piece]:
-    """Renders successive prefixes of each segment and cuts the outputs where they first differ."""
+def rendered_pieces(turns: Iterable[Turn], template: Template, concatenative: bool | None = None) -> Iterator[Piece]:
+    """Renders successive prefixes and cuts the outputs where they first differ.
+
+    concatenative: the template writes each turn by itself, whatever stands before, and nothing besides. Only then is a long conversation
+    rendered in segments; of any other template each prefix is the whole conversation so far, which is held, and n turns cost n renderings.
+    By default marked_template alone counts as concatenative.
+    """
+    if concatenative is None:
+        concatenative = template is marked_template
     prefix: list[Turn] = []
     before = ""
     for turn in turns:
-        fresh = len(prefix) >= SEGMENT_TURNS or len(before) >= SEGMENT_CHARS or not prefix
+        fresh = not prefix or concatenative and (len(prefix) >= SEGMENT_TURNS or len(before) >= SEGMENT_CHARS)
         if fresh:
             prefix, before = [], template([])
         prefix.append(turn)
-        now = template(prefix)
+        now = template(list(prefix))  # a template may change its list
         kept = now.startswith(before)
         at = len(before) if kept else common_length(before, now)
         if fresh:
             at = 0  # an opening that the template writes before any turn belongs to the first
-        yield Piece(turn[0], now[at:], fresh, not kept)
+        yield Piece(turn[0], at, now[at:], fresh, not kept)
         before = now
 
 
@@ -106,22 +114,24 @@ def _by_conversation(conversations: DataFrame) -> DataFrame:
 PIECES = "conv_id bigint, position bigint, role string, segment bigint, start bigint, `end` bigint, piece string, in_loss boolean, rewrites_history boolean"
 
 
-def format_conversations(conversations: DataFrame, template: Template = marked_template, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per turn: its position, its segment of the conversation, the span [start, end) it has in the segment's output, the text
+def format_conversations(conversations: DataFrame, template: Template = marked_template, loss_roles: tuple[str, ...] = ("assistant",), concatenative: bool | None = None) -> DataFrame:
+    """One row per turn: its position, its segment of the conversation, the span [start, end) it has in the output up to this turn, the text
     of that span, whether it is under the loss mask, and whether the template rewrote what stood before.
 
+    A conversation is one segment, unless the template is concatenative (see rendered_pieces): then the outputs, and so the spans, are
+    those of segments of 32 turns.
+
     Rows are ordered by turn, then role, then text. Null roles and texts count as empty; a null conv_id is a conversation of its own;
     repeated rows are turns like others; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
         for conv, turns in _conversations(batches):
-            segment, end = -1, 0
+            segment = -1
             rows: list[tuple] = []
-            for position, p in enumerate(rendered_pieces(turns, template)):
-                segment, end = (segment + 1, 0) if p.new_segment else (segment, end)
-                rows.append((conv, position, p.role, segment, end, end + len(p.text), p.text, p.role in loss_roles, p.rewrites))
-                end += len(p.text)
+            for position, p in enumerate(rendered_pieces(turns, template, concatenative)):
+                segment += p.new_segment
+                rows.append((conv, position, p.role, segment, p.start, p.start + len(p.text), p.text, p.role in loss_roles, p.rewrites))
                 if len(rows) >= 1000:
                     yield _batch(rows, names, types)
                     rows = []
