@@ -284,3 +284,19 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in rows] == [(1, "private_email", 5, 11, "a@b.co"), (1, "secret", 15, 23, "10.0.0.1")]
     assert spark.sql("SELECT pii_redact(text) FROM mails WHERE id = 1").first()[0] == "mail <REDACTED> or <REDACTED>"
     assert D.detect(spark.createDataFrame([(synth.long_text(4000),)], "text string")).first().spans[0].text == "alice@example.com"
+
+
+def test_forward_scores_cover_whole_texts(spark, tmp_path):
+    from veilspan.plans import queries as Q
+
+    long = "One sentence of some words. " * 40 + "\nand a last line"
+    rows = [(1, long), (2, long[:-1] + "f"), (3, "short ü"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in Q.forward_scores(spark, str(tmp_path)).collect()}
+    c = ModelConfig(hidden=16, intermediate=8, layers=2, query_heads=4, kv_heads=2, head_dim=4, experts=6, top_k=2, window=3, vocab=256, pad_id=255)
+    w = M.random_weights(c)
+    pieces = ["One sentence of some words.\n"] * 40 + ["and a last line\n"]
+    naive = [naive_forward(np.frombuffer(p.encode(), dtype=np.uint8), w, c) for p in dict.fromkeys(pieces)]
+    assert got[1].n_tokens == sum(map(len, pieces)) and got[3].n_tokens == 8 and got[4].n_tokens == got[5].n_tokens == 0
+    assert np.allclose(got[1].scores, 40 * naive[0].sum(axis=0) + naive[1].sum(axis=0), atol=0.5, rtol=1e-3)
+    assert got[1].scores != got[2].scores  # the last byte counts

@@ -16,7 +16,7 @@ from ..operators import render as R
 from ..operators import spans as S
 from ..operators import synth
 from ..operators.forward import forward, random_weights
-from ..operators.segments import segment_spans
+from ..operators.segments import segment_bytes, segment_spans
 from ..operators.tokenizer import Tokenizer, tokens
 from ..operators.viterbi import allowed, tag_spans, transition_bias, viterbi
 from .examples import EDGES, EXPECTED
@@ -381,20 +381,32 @@ def viterbi_spans(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.explode(decode("x")).alias("s")).select("vec_id", "s.*")
 
 
-@query("forward_scores")
-def forward_scores(spark, sf_dir):
+def score_digest(text: str | None, weights, c: ModelConfig) -> tuple[int, list[float], str]:
+    """Of the tag scores of all bytes of a text, segment by segment as the engine sees them: how many, their sums, and the SHA-256 of the best tags (a byte each)."""
+    import hashlib
+
     import numpy as np
 
+    b = (text or "").encode()
+    n, sums, best = 0, np.zeros(c.labels), hashlib.sha256()
+    for span in segment_spans(b):
+        scores = forward(np.frombuffer(segment_bytes(b, span), dtype=np.uint8), weights, c)
+        n += len(scores)
+        sums += scores.sum(axis=0, dtype=np.float64)
+        best.update(scores.argmax(axis=1).astype(np.uint8).tobytes())
+    return n, sums.round(3).tolist(), best.hexdigest()
+
+
+@query("forward_scores")
+def forward_scores(spark, sf_dir):
     c = ModelConfig(hidden=16, intermediate=8, layers=2, query_heads=4, kv_heads=2, head_dim=4, experts=6, top_k=2, window=3, vocab=256, pad_id=255)
     weights = spark.sparkContext.broadcast(random_weights(c))
 
-    @F.pandas_udf("array<double>")
-    def first_scores(column):
-        import pandas as pd
-
-        return pd.Series([forward(np.frombuffer((t or " ").encode()[:64] or b" ", dtype=np.uint8), weights.value, c)[0].astype(float).round(4).tolist() for t in column])
+    @F.udf("struct<n_tokens:bigint,scores:array<double>,tags_sha256:string>", useArrow=True)
+    def digest(text):
+        return score_digest(text, weights.value, c)
 
-    return read(spark, sf_dir, "documents").select("doc_id", first_scores("text").alias("scores"))
+    return read(spark, sf_dir, "documents").select("doc_id", digest("text").alias("x")).select("doc_id", "x.*")
 
 
 TRUTH_SQL = f"""{MADE_SQL}, truth AS (SELECT m.doc_id, ord AS span_no, CASE ord WHEN 0 THEN 'secret' ELSE 'private_date' END AS label, lang, 100 * CAST(ord AS INT) + s AS start, 100 * CAST(ord AS INT) + s + 10 AS "end" FROM made m JOIN documents USING (doc_id)),
