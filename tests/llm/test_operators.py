@@ -323,6 +323,22 @@ def test_license_scan(spark, docs):
     assert license_scan.scan_licenses(docs).count() == 0
 
 
+def test_license_scan_within_lines(spark):
+    mit = license_scan.TEMPLATES[2][1]
+    gpl = dict(license_scan.TEMPLATES)["GPL-3.0"]
+    texts = ["Copyright (c) 2021 Jane Doe. Released under the MIT License.", "<p>" + "word " * 300 + mit + " other" * 300, "This work is licensed under the GNU General Public License, version 2.", "Licensed under the Apache License, Version 1.1.", "before it\n" + " ".join(gpl.split()) + " and after", "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.license): (round(r.score, 3), r.first_line, r.last_line) for r in license_scan.scan_licenses(rows).collect()}
+    assert got == {(0, "MIT"): (1.0, 0, 0), (1, "MIT"): (1.0, 0, 0), (2, "GPL-2.0"): (1.0, 0, 0), (4, "GPL-3.0"): (1.0, 1, 1), (5, "CC-BY-NC-ND-4.0"): (0.88, 0, 0)}
+    r = random.Random(2)
+    known = license_scan.Template("x", "a b a b c d e f", 0.6)
+    for _ in range(200):
+        words = [r.choice("abcdefg") for _ in range(r.randrange(2, 16))]
+        scores = [license_scan.dice(license_scan.Counter(license_scan.bigrams_of(words[i:j])), known.bigrams) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        found = license_scan.best_units(" ".join(words), [known])
+        assert found == [] if max(scores) < 0.6 - 1e-9 else abs(found[0][1] - max(scores)) < 1e-9
+
+
 def test_packing(docs, none):
     path = packing.tokenizer_file()
     from tokenizers import Tokenizer
