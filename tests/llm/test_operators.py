@@ -407,6 +407,13 @@ def test_near_dedup(docs, none, width):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_passes_over_few_pairs():
+    from math import ceil, comb
+
+    least = ceil(64 * near_dedup.LEAST_AGREEMENT)
+    assert sum(comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(least)) < 3e-8  # little beside the 3e-7 of the regions
+
+
 def test_near_dedup_finds_stars(spark):
     """Copies that are close to a common source but not to each other."""
     r = random.Random(9)

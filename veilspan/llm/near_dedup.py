@@ -29,8 +29,8 @@ MINIMA, TREES, DEPTH = 64, 21, 3
 BLOCK = 48
 #: Orders in which a class is walked: those in which most others share its region.
 WALKED = 2
-#: Pairs whose signatures agree on a smaller share are not tried: five standard deviations below 0.8.
-LEAST_AGREEMENT = 0.55
+#: Pairs whose signatures agree on a smaller share are not tried: seven standard deviations below 0.8, where a pair at 0.8 is passed over with probability 2e-10.
+LEAST_AGREEMENT = 0.45
 #: Partners that one confirming block holds besides its centre.
 PARTNERS = 64
 
