@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,25 +20,42 @@ ASCII_LOWER = ASCII_UPPER.lower()
 SLICE_BYTES = 4 << 20
 
 
+#: Removes a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where none is set."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir; where that is unset, under a local one that is set for it, on a local master alone."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="veilspan-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/veilspan-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
+    """df written as a table in the shared folder and read again: lineage ends here, a lost executor costs nothing, and the shuffle files behind it go."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when their plans are collected: those behind a written table are of no more use
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(*tables: DataFrame) -> None:
+    """The files of stored() tables go, once nothing that is still to be read depends on them."""
+    for df in tables:
+        spark = df.sparkSession
+        if files := df.inputFiles():
+            spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import emptied, stored
 
 
 class UnionFind:
@@ -76,18 +76,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-loops count for nothing; null ends are left out.
     """
     edges = stored(_contracted(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")).distinct(), "edges")
-    before = None
     while True:
         # large star: each node's larger neighbours go to the smallest node around it
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = around.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        stars = around.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node and its smaller neighbours go to the smallest of these
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        linked = edges.join(least, "a")
-        edges = linked.select("a", F.col("m").alias("b")).unionByName(linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stored(_contracted(edges).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.count_distinct("a"), F.count_if(F.col("b") >= F.col("a"))).first()
-        if now == before and now[0] == now[2]:
+        least = stars.groupBy("a").agg(F.min("b").alias("m"))
+        linked = stars.join(least, "a")
+        stars = linked.select("a", F.col("m").alias("b")).unionByName(linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        before, edges = edges, stored(_contracted(stars).distinct(), "edges")
+        emptied(before)
+        # done when each node has one edge, to a smaller node that has none of its own
+        if not edges.groupBy("a").count().where("count > 1").head(1) and not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").head(1):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = now

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -49,10 +51,11 @@ def runs(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def similar_candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, sorted by token and size, that share a token and pass the length, positional and sketch filters."""
+def similar_steps(token: np.ndarray, size: np.ndarray, position: np.ndarray, away, percent: int, steps: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by token and size, that share a token and pass the length and positional filters and the bound on how many
+    tokens they differ in, of which away(a, b) says the least number: those that stand 1, 2, .. rows apart, in turn, with that number.
+    After `steps` of them, come the rows that still have others further on, with themselves."""
     token, size, position = token.astype(np.int64), size.astype(np.int64), position.astype(np.int64)
-    out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     # the smaller set of a pair meets the other within a shorter prefix
     active = np.flatnonzero(position <= size - -(-2 * percent * size // (100 + percent)))
     shift = 0
@@ -62,12 +65,22 @@ def similar_candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray
         other = active + shift
         alike = (token[other] == token[active]) & (100 * size[active] >= percent * size[other])
         active, other = active[alike], other[alike]
+        if steps is not None and shift > steps:
+            yield active, active, np.zeros(len(active), dtype=np.int64)
+            return
         both = size[active] + size[other]
         needed = -(-percent * both // (100 + percent))
         reachable = np.minimum(size[active] - position[active], size[other] - position[other])
-        near = (reachable >= needed) & (np.bitwise_count(sketch[active] ^ sketch[other]) <= both - 2 * needed)
-        out_a.append(active[near]), out_b.append(other[near])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        kept = np.flatnonzero(reachable >= needed)
+        bits = away(active[kept], other[kept])
+        near = bits <= (both - 2 * needed)[kept]
+        yield active[kept[near]], other[kept[near]], bits[near]
+
+
+def similar_candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of similar_steps(), by parity sketches of 64 bits."""
+    found = [(np.zeros(0, dtype=np.int64),) * 3, *similar_steps(token, size, position, lambda a, b: np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64), percent)]
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def rare_prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:

@@ -3,12 +3,14 @@
 A suffix that matters begins a window of `window` words that occurs twice. Each window is found through its anchor: of its runs of PREFIX
 words the one with the smallest hash, at the same place in equal windows. Anchors that only one text has are dropped; the suffixes
 around the others are dealt out by prefix. A prefix has the PREFIX words of the anchor, or the whole window where more than CROWDED
-suffixes share the anchor, so a group fits in memory. Each group's subtree is its suffixes in lexicographic order with the common prefix
-lengths of neighbours; its internal nodes of depth `window` or more are the repeats, and the first leaf of a node is the occurrence that stays.
+suffixes share the anchor; groups of prefixes, as many as the corpus needs, are held one at a time, and split by longer prefixes until a
+subtree fits. A subtree is its suffixes in lexicographic order with the common prefix lengths of neighbours, up to `window`: a deeper
+node removes nothing more. Its internal nodes of that depth are the repeats, and the first leaf of a node is the occurrence that stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, slots_of, text_rows, to_slots, unpack
-from .common import mix, partitions, shingle_hashes, slices, space_words, stored, table, text_array, word_hashes
+from .common import emptied, mix, partitions, shingle_hashes, slices, space_words, stored, table, text_array, word_hashes
+from .rare_prefix import grouped
 
 WINDOW = 20
 PREFIX = 8
@@ -26,8 +29,8 @@ PREFIX = 8
 CROWDED = 5000
 #: Suffixes whose words are laid out at a time.
 SUFFIXES_AT_ONCE = 50_000
-#: Bytes of text that are taken together.
-TAKEN = 8 << 20
+#: Bytes of text that are taken together, and of the corpus for each group of anchors or prefixes.
+TAKEN, GROUP_BYTES = 8 << 20, 64 << 20
 
 
 def anchored_windows(offsets: np.ndarray, codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,8 +60,8 @@ def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, word_hashes(words)
 
 
-def _anchor_blocks(documents: DataFrame, window: int, n: int) -> DataFrame:
-    """(part, block): each task's anchors, dealt by hash; a block lists documents (id, digest) and anchors (hash, document, place)."""
+def _anchor_blocks(documents: DataFrame, window: int, n: int, groups: int) -> DataFrame:
+    """(part, block): each task's anchors, dealt by hash; a block lists documents (id, digest) and anchors (hash, document, 2 * place + (1 if the document's first))."""
 
     def run(batches):
         for b in slices(batches, limit=TAKEN):
@@ -68,56 +71,61 @@ def _anchor_blocks(documents: DataFrame, window: int, n: int) -> DataFrame:
             offsets, codes = _word_codes(texts)
             hashes, places, _, _ = anchored_windows(offsets, codes, window)
             documents_of = np.searchsorted(offsets, places, side="right") - 1
+            leads = np.concatenate([[True], documents_of[1:] != documents_of[:-1]])[: len(places)]
             parts, blobs = [], []
-            for p, own in dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
+            for p, own in dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(groups), groups):
                 used, index = np.unique(documents_of[own], return_inverse=True)
                 parts.append(p)
-                blobs.append(pack(ids[used], digests[used], (hashes[own] >> np.uint64(32)).astype("<u4"), index.astype("<u4"), (places[own] - offsets[documents_of[own]]).astype("<u4")))
+                blobs.append(pack(ids[used], digests[used], (hashes[own] >> np.uint64(32)).astype("<u4"), index.astype("<u4"), (2 * (places[own] - offsets[documents_of[own]]) + leads[own]).astype("<u4")))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
-    return documents.mapInArrow(run, "part int, block binary").repartition(n, "part")
+    return documents.mapInArrow(run, "part int, block binary").repartition(n, "part").sortWithinPartitions("part")
 
 
 def _shared_anchors(blocks: DataFrame, slots: int) -> DataFrame:
-    """ROWS of kind 0: for each first document of a text the anchors that another text, or another place of it, has too, as 2 * place + (1 if crowded)."""
+    """ROWS of kind 0: for each first document of a text the anchors that another text, or another place of it, has too, as 2 * place + (1 if crowded); of kind 1: documents that copy an earlier one's text."""
 
     def run(batches):
-        hashes, ids, digests, places = [], [], [], []
-        for b in batches:
-            for blob in b.column("block").to_pylist():
+        for group in grouped(batches, "part"):
+            hashes, ids, digests, places = [], [], [], []
+            for blob in group.column("block").to_pylist():
                 i, d, h, index, place = unpack(blob, "<i8", "<u8", "<u4", "<u4", "<u4")
                 hashes.append(h), ids.append(i[index]), digests.append(d[index]), places.append(place)
-        if not hashes:
-            return
-        h, ids, digests, places = (np.concatenate(x) for x in (hashes, ids, digests, places))
+            yield from shared(*(np.concatenate(x) for x in (hashes, ids, digests, places)))
+
+    def shared(h, ids, digests, places):
         # within an anchor by text, place and document: equal texts have equal places, and the first of them stands for all
         order = np.lexsort((ids, places, digests, h))
         h, ids, digests, places = h[order], ids[order], digests[order], places[order]
         first = np.ones(len(h), dtype=bool)
         first[1:] = (h[1:] != h[:-1]) | (digests[1:] != digests[:-1]) | (places[1:] != places[:-1])
+        base = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        copies = np.unique(ids[(places % 2 == 1) & (ids != ids[base])])
+        yield from by_slot(copies, np.ones(len(copies), dtype=np.int64), 1, slots)
         h, ids, places = h[first], ids[first], places[first]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(start, len(h)))
         sizes = np.repeat(size, size)
-        shared = sizes > 1
-        yield from by_slot(ids[shared], 2 * places[shared].astype(np.int64) + (sizes[shared] > CROWDED), 0, slots)
+        several = sizes > 1
+        yield from by_slot(ids[several], 2 * (places[several].astype(np.int64) // 2) + (sizes[several] > CROWDED), 0, slots)
 
     return blocks.mapInArrow(run, ROWS)
 
 
-def _kept(text: str, starts: np.ndarray, window: int, everything: bool) -> tuple[int, int, list[bytes]]:
-    """Words, removed words and kept words of a text whose windows at starts go."""
+def _kept(text: str, starts: np.ndarray, window: int, everything: bool, digests: bool) -> tuple[int, int, str]:
+    """Words, removed words and kept words (or their digest) of a text whose windows at starts go."""
+    said = lambda kept: hashlib.sha256(b" ".join(kept)).hexdigest() if digests else b" ".join(kept).decode()
     words = text.encode().split()
     if everything and len(words) >= window:
-        return len(words), len(words), []
+        return len(words), len(words), said([])
     if not len(starts):
-        return len(words), 0, words
+        return len(words), 0, said(words)
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + window, len(words)), -1)
     keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-    return len(words), len(words) - len(keep), [words[i] for i in keep.tolist()]
+    return len(words), len(words) - len(keep), said([words[i] for i in keep.tolist()])
 
 
 TABLE = "kind string, doc_id bigint, n_words bigint, n_removed bigint, kept string, text string, part int, block binary"
@@ -129,7 +137,7 @@ def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], window: int, n: int, slots: int) -> Iterator[tuple]:
+def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], window: int, groups: int, slots: int) -> Iterator[tuple]:
     """TABLE rows of the marked anchors of some documents: their suffixes, dealt by prefix, and what equal crowded windows among them decide at once."""
     offsets, codes = _word_codes(pa.array(texts, pa.large_string()))
     hashes, places, starts, counts = anchored_windows(offsets, codes, window)
@@ -158,7 +166,7 @@ def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], w
         for slot, mine in dealt(slots_of(ids[doc[later]], slots), slots):
             yield ("removed", None, None, None, None, None, slot, pack(ids[doc[later]][mine], (own[later] - offsets[doc[later]])[mine].astype("<i8")))
         hashes, starts, counts = np.concatenate([hashes, full[first]]), np.concatenate([starts, own[first]]), np.concatenate([counts, np.ones(first.sum(), dtype=np.int64)])
-    for p, own in dealt((mix(hashes) >> np.uint64(17)) % np.uint64(n), n):
+    for p, own in dealt((mix(hashes) >> np.uint64(17)) % np.uint64(groups), groups):
         length = counts[own] + window - 1
         ends = np.cumsum(length)
         flat = words[np.repeat(starts[own] - (ends - length), length) + np.arange(int(ends[-1]))]
@@ -166,7 +174,7 @@ def _suffix_blocks(ids: np.ndarray, texts: list[str], marks: list[np.ndarray], w
         yield ("suffixes", None, None, None, None, None, p, pack(ids[doc], (starts[own] - offsets[doc]).astype("<u4"), counts[own].astype("<u1"), flat))
 
 
-def _judged(rows: DataFrame, window: int, n: int, slots: int) -> DataFrame:
+def _judged(rows: DataFrame, window: int, groups: int, slots: int, digests: bool) -> DataFrame:
     """TABLE: documents that are done (no shared anchor, or copies), and the others with their suffixes."""
 
     def run(batches):
@@ -175,19 +183,18 @@ def _judged(rows: DataFrame, window: int, n: int, slots: int) -> DataFrame:
         for doc, text, _, found in documents_of(batches, {0: 1, 1: 1}):
             values, copy = found[0].ravel(), len(found[1]) > 0
             if copy or not len(values):
-                words, removed, kept = _kept(text, values, window, copy)
-                out.append(("done", doc, words, removed, b" ".join(kept).decode(), None, None, None))
+                out.append(("done", doc, *_kept(text, values, window, copy, digests), None, None, None))
             else:
                 out.append(("open", doc, None, None, None, text, None, None))
                 ids.append(doc), texts.append(text), marks.append(values)
             size += len(text)
             if size > TAKEN // 2:
                 if ids:
-                    out += _suffix_blocks(np.array(ids), texts, marks, window, n, slots)
+                    out += _suffix_blocks(np.array(ids), texts, marks, window, groups, slots)
                 yield _table_batch(out)
                 out, ids, texts, marks, size = [], [], [], [], 0
         if ids:
-            out += _suffix_blocks(np.array(ids), texts, marks, window, n, slots)
+            out += _suffix_blocks(np.array(ids), texts, marks, window, groups, slots)
         if out:
             yield _table_batch(out)
 
@@ -208,39 +215,46 @@ def repeated_leaves(windows: np.ndarray, ids: np.ndarray, starts: np.ndarray) ->
     return order[later]
 
 
+def subtrees(words: np.ndarray, at: np.ndarray, window: int, limit: int) -> Iterator[np.ndarray]:
+    """The suffixes at the places `at` of words, as indices, in groups of at most limit that hold all of their prefixes; what is left over it
+    shares prefixes of `window` words. A prefix grows by words until its group fits."""
+    waiting = [(np.arange(len(at)), np.zeros(len(at), dtype=np.uint64), 0)]
+    while waiting:
+        own, hashes, depth = waiting.pop()
+        if len(own) <= limit or depth == window:
+            yield own
+            continue
+        hashes = mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[at[own] + depth])
+        bins = -(-2 * len(own) // limit)
+        waiting += [(own[x], hashes[x], depth + 1) for _, x in dealt((hashes % np.uint64(bins)).astype(np.int64), bins)]
+
+
 def _repeats(suffixes: DataFrame, window: int, slots: int) -> DataFrame:
-    """ROWS of kind 0: the windows that a subtree shows to occur earlier."""
+    """ROWS of kind 0: the windows that a subtree shows to occur earlier. A group of prefixes at a time is held."""
 
     def run(batches):
-        held, found = [], []
-        for b in batches:
-            for blob in b.column("block").to_pylist():
-                held.append(unpack(blob, "<i8", "<u4", "<u1", "<u4"))
-        if not held:
-            return
-        ids, starts, counts, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-        counts = counts.astype(np.int64)
-        length = counts + window - 1
-        base = np.repeat(np.cumsum(length) - length, counts)
-        k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids, starts, at = np.repeat(ids, counts), np.repeat(starts, counts).astype(np.int64) + k, base + k
-        # subtrees by first word, a memory-sized number of suffixes at a time
-        groups = -(-len(at) // SUFFIXES_AT_ONCE)
-        for _, own in dealt((mix(flat[at]) % np.uint64(groups)).astype(np.int64), groups):
-            rows = own[repeated_leaves(flat[at[own][:, None] + np.arange(window)], ids[own], starts[own])]
-            found.append((ids[rows], starts[rows]))
-        yield from by_slot(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), 0, slots)
-
-    return suffixes.mapInArrow(run, ROWS)
-
-
-def _finished(rows: DataFrame, window: int) -> DataFrame:
+        for group in grouped(batches, "part"):
+            ids, starts, counts, flat = (np.concatenate(x) for x in zip(*(unpack(blob, "<i8", "<u4", "<u1", "<u4") for blob in group.column("block").to_pylist()), strict=True))
+            counts = counts.astype(np.int64)
+            length = counts + window - 1
+            base = np.repeat(np.cumsum(length) - length, counts)
+            k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            ids, starts, at = np.repeat(ids, counts), np.repeat(starts, counts).astype(np.int64) + k, base + k
+            found = []
+            for own in subtrees(flat, at, window, SUFFIXES_AT_ONCE):
+                found.append(own[repeated_leaves(flat[at[own][:, None] + np.arange(window)], ids[own], starts[own])])
+            rows = np.concatenate(found)
+            yield from by_slot(ids[rows], starts[rows], 0, slots)
+
+    return suffixes.sortWithinPartitions("part").mapInArrow(run, ROWS)
+
+
+def _finished(rows: DataFrame, window: int, digests: bool) -> DataFrame:
     def run(batches):
         out: list[tuple] = []
         size = 0
         for doc, text, _, found in documents_of(batches, {0: 1}):
-            words, removed, kept = _kept(text, found[0].ravel(), window, False)
-            out.append(("done", doc, words, removed, b" ".join(kept).decode(), None, None, None))
+            out.append(("done", doc, *_kept(text, found[0].ravel(), window, False, digests), None, None, None))
             size += len(text)
             if size > TAKEN // 2:
                 yield _table_batch(out)
@@ -251,22 +265,11 @@ def _finished(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, TABLE)
 
 
-def _copy_blocks(copies: DataFrame, slots: int) -> DataFrame:
-    """ROWS of kind 1 for documents (doc_id)."""
-
-    def run(batches):
-        for b in batches:
-            ids = np.asarray(b.column("doc_id"))
-            yield from by_slot(ids, np.ones(len(ids), dtype=np.int64), 1, slots)
-
-    return copies.mapInArrow(run, ROWS)
-
-
-def remove_repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, digests: bool = False) -> DataFrame:
     """documents (doc_id, text) as doc_id, n_words, n_removed, kept: without the words that a window covers whose words also start earlier.
 
     Words stand between ASCII white space; earlier means a smaller doc_id, or the same and an earlier start; windows are judged on the
-    input. kept holds the kept words with single spaces. A null text is empty. Rows of equal doc_id and text are one document, returned
+    input. kept holds the kept words with single spaces, or with digests the SHA-256 of that. A null text is empty. Rows of equal doc_id and text are one document, returned
     as often; of several texts under one doc_id none is earlier than another at the same start. Rows with a null doc_id are left out; an
     empty table gives no rows; other columns are ignored. window is PREFIX + 1 at least.
     """
@@ -275,19 +278,18 @@ def remove_repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataF
     n = partitions(documents.sparkSession)
     slots = SLOTS_PER_PARTITION * n
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    digests = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = digests.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct()
-    shared = _shared_anchors(_anchor_blocks(documents, window, n), slots)
-    rows = text_rows(documents, slots).unionByName(_copy_blocks(copies, slots)).unionByName(shared)
-    judged = stored(_judged(to_slots(rows, n), window, n, slots), "judged")
-    repeats = _repeats(judged.where("kind = 'suffixes'").select("part", "block").repartition(n, "part"), window, slots)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = n * max(1, -(-size // (n * GROUP_BYTES)))
+    shared = stored(_shared_anchors(_anchor_blocks(documents, window, n, groups), slots), "shared")
+    judged = stored(_judged(to_slots(text_rows(documents, slots).unionByName(shared), n), window, groups, slots, digests), "judged")
+    emptied(shared)
+    repeats = stored(_repeats(judged.where("kind = 'suffixes'").select("part", "block").repartition(n, "part"), window, slots), "repeats")
     none = F.lit(None)
     decided = judged.where("kind = 'removed'").select(F.col("part").alias("slot"), F.lit(0).alias("kind"), none.cast("bigint").alias("doc_id"), none.cast("string").alias("text"), none.cast("string").alias("extra"), "block")
     opened = text_rows(judged.where("kind = 'open'"), slots)
-    finished = _finished(to_slots(opened.unionByName(decided).unionByName(repeats), n), window)
+    finished = _finished(to_slots(opened.unionByName(decided).unionByName(repeats), n), window, digests)
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_words", "n_removed", "kept")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeated_windows(table(spark, sf_dir, "documents"), digests=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
