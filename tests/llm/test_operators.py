@@ -210,6 +210,35 @@ def test_long_conversations_of_any_template(spark):
     assert sum(p.new_segment for p in chat_format.rendered_pieces(turns, window, concatenative=True)) == 2
 
 
+def lines_expected(rows):
+    """(doc_id, text): what is kept, where a line goes that is similar to one of a smaller (doc_id, line number)."""
+    every = sorted((d, i, frozenset(split(line.translate(LOWER)))) for d, t in rows for i, line in enumerate(t.split("\n")))
+    out = {}
+    for d, t in rows:
+        lines = t.split("\n")
+        gone = set()
+        for i, line in enumerate(lines):
+            s = frozenset(split(line.translate(LOWER)))
+            if s and any((e, j) < (d, i) and 100 * len(s & x) >= 80 * len(s | x) for e, j, x in every):
+                gone.add(i)
+        out[(d, t)] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("neighbours", [512, 1])
+def test_line_dedup_of_crowds_and_of_texts_under_one_id(spark, neighbours, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEIGHBOURS", neighbours)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(20)]
+    near = lambda n: " ".join(r.sample(base, 20 - n) + [f"x{r.randrange(40)}" for _ in range(n)])
+    rows = [(k, "\n".join([near(r.randrange(5)), f"own {k} line", near(r.randrange(1, 7))])) for k in range(60)]
+    rows += [(7, "another text\n" + near(2)), (7, near(3) + "\nshort"), (7, rows[7][1]), (30, rows[31][1])]
+    got = line_dedup.remove_similar_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), extra="text").collect()
+    expected = lines_expected(sorted(set(rows)))
+    assert len(got) == len(rows) and sum(r.n_removed for r in got) > 40
+    assert all(expected[(r.doc_id, r.extra)] == (r.n_lines, r.n_removed, r.kept) for r in got)
+
+
 def test_line_dedup(docs, none):
     sets, expected = [], {}
     for d, t in by_id():
@@ -280,6 +309,7 @@ def test_url_filters(spark):
 @pytest.mark.parametrize("crowded", [5000, 1])
 def test_substring_dedup(docs, none, crowded, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(substring_dedup, "SUFFIXES_AT_ONCE", 10 * crowded)
     seen, expected = set(), {}
     for d, t in by_id():
         w = t.encode().split()
@@ -296,6 +326,20 @@ def test_substring_dedup(docs, none, crowded, monkeypatch):
     assert substring_dedup.remove_repeated_windows(none).count() == 0
 
 
+def test_subtrees_hold_whole_prefixes():
+    r = np.random.default_rng(4)
+    words = np.concatenate([r.integers(0, 2, 400), np.zeros(60)]).astype(np.uint32)
+    at = np.arange(len(words) - 9)
+    groups = list(substring_dedup.subtrees(words, at, 10, 12))
+    assert sorted(np.concatenate(groups).tolist()) == at.tolist()
+    group_of = {int(i): g for g, own in enumerate(groups) for i in own}
+    place = defaultdict(set)
+    for i in at.tolist():
+        place[tuple(words[i : i + 10])].add(group_of[i])
+    assert all(len(x) == 1 for x in place.values())
+    assert all(len(own) <= 12 or len({tuple(words[i : i + 10]) for i in own.tolist()}) == 1 for own in groups)
+
+
 def test_repeated_leaves():
     words = np.array([[0, 1], [0, 2], [0, 1], [0, 1], [5, 0]], dtype=np.uint32)
     assert sorted(substring_dedup.repeated_leaves(words, np.array([4, 1, 2, 2, 0]), np.array([0, 0, 7, 3, 0]))) == [0, 2]
@@ -382,10 +426,10 @@ def test_pack_lengths_is_close_to_the_bound():
     assert packing.fullest({3: 2, 5: 1}, 9) == {3: 1, 5: 1} and packing.fullest({4: 1}, 3) == {}
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_dedup(docs, none, width):
+def least_alike(rows, width):
+    """rows (key, text): for each key its number of shingles and the smallest key that links reach."""
     sets = {}
-    for d, t in by_id():
+    for d, t in rows:
         w = split(t.translate(LOWER))
         sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     parent = {d: d for d in sets}
@@ -400,13 +444,26 @@ def test_near_dedup(docs, none, width):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_dedup(docs, none, width):
+    expected = least_alike(by_id(), width)
     rows = near_dedup.near_duplicates(docs, width=width).collect()
     assert len(rows) == len(ROWS) and sum(not r.kept for r in rows) > 5
     for r in rows:
-        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+        assert (r.n_shingles, r.component_id, r.kept) == (*expected[r.doc_id], expected[r.doc_id][1] == r.doc_id)
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_of_texts_under_one_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (5, text(1) + " end"), (5, text(2)), (5, text(3)), (5, text(3)), (9, text(3) + " end"), (None, text(1))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (5, 5, True), (9, 5, False)]
+
+
 def test_near_dedup_passes_over_few_pairs():
     from math import ceil, comb
 
@@ -440,19 +497,42 @@ def test_components(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [(d, t, "en", "s", len(t or "")) for d, t, _ in ROWS]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(d, int(d % 5 == 0), 0) for d, _, _ in ROWS], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(d, t, "en", "s", len(t or ""), {d: "x"}, i) for i, (d, t, _) in enumerate(ROWS)]
+    rows += [(7, "another text under a known id " + VOCABULARY[0], "en", "s", 1, {}, 900), (None, TEXTS[3], "en", "s", 2, None, 901)]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, `text_mark` map<bigint,string>, `a``b.c` bigint"
+    spark.createDataFrame(rows, kind).withColumn("at", F.expr("timestamp'2024-01-01 10:00:00.123456' + make_interval(0,0,0,n_chars)")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int((d or 0) % 5 == 0), 0) for d, _, _ in ROWS], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, TEXTS[60])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    every = {r["a`b.c"]: r for r in docs.collect()}
+    out = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
-        assert out.count() <= docs.count()
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns and made.dtypes == docs.dtypes, name
+        out[name] = made.collect()
+        assert len(out[name]) <= len(every)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
-    lines = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path))
-    assert lines.where(F.col("n_chars") != F.length("text")).count() == 0
-    near = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
-    assert near.count() == near.select("doc_id").distinct().count() < docs.count()
+        for r in out[name]:  # all columns but those that a stage changes stay, microseconds and maps among them
+            was = every[r["a`b.c"]]
+            assert [x for k, x in r.asDict().items() if k not in ("text", "n_chars")] == [x for k, x in was.asDict().items() if k not in ("text", "n_chars")]
+            assert name == "line_dedup" or (r.text, r.n_chars) == (was.text, was.n_chars)
+    known = [r for r in every.values() if r.doc_id is not None]
+    assert {r["a`b.c"] for r in out["toxicity"]} == set(every)  # no label is toxic
+    expected = lines_expected(sorted({(r.doc_id, r.text or "") for r in known}))
+    lines = {r["a`b.c"]: r for r in out["line_dedup"]}
+    for r in known:
+        _, gone, kept = expected[(r.doc_id, r.text or "")]
+        if gone and not split(kept):
+            assert r["a`b.c"] not in lines
+        else:
+            got = lines[r["a`b.c"]]
+            assert got.text == (kept if gone else r.text) and got.n_chars == (len(kept) if gone else r.n_chars)
+    firsts = least_alike(sorted({((r.doc_id, r.text or ""), r.text or "") for r in known}), 5)
+    assert sorted((r.doc_id, r.text or "") for r in out["near_dedup"] if r.doc_id is not None) == sorted(k for k, (_, first) in firsts.items() if first == k)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    runs = lambda t: {tuple(words(t)[i : i + 10]) for i in range(len(words(t)) - 9)}
+    dirty = {r.doc_id for r in known if runs(r.text) & runs(TEXTS[60])}
+    assert dirty and sorted(r["a`b.c"] for r in out["decontamination"]) == sorted(k for k, r in every.items() if r.doc_id not in dirty)
+    assert all([r for r in out[name] if r.doc_id is None] for name in out)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and packed.count() > 10

@@ -2,59 +2,85 @@
 
 A line is the set of its words. Words are ordered by rarity, that is by the counts of their hash buckets over all documents, then by
 hash; two sets of Jaccard similarity t share a word among the first |x| - ceil(t |x|) + 1 of each. These prefixes are joined; pairs must
-pass the length filter, the positional filter, and a bound on the symmetric difference from a 64-bit parity sketch. For each later line
-the closest candidate of each word is verified on both sets; where that fails and there are others, the line meets
-these anew through its rarest words as counted among them alone, and is verified. Of two similar lines the later one goes.
+pass the length filter, the positional filter, and a bound on the symmetric difference from a parity sketch of 64 bits, or 256 if both are long. For each later line
+the candidate that is closest by sketch is verified on both sets; where that fails and there are others, the line meets all of these anew,
+those that a sketch of 256 bits rules out go, and the rest are verified. Of two similar lines the later one goes.
+
+Texts move once to meet what was found about their lines; those with a line in doubt are kept and move again. All else that moves is
+prefixes, places of lines, and the sets of lines that are verified.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, text_rows, to_slots, unpack
-from .common import ascii_lowered, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
-from .rare_prefix import similar_candidates
+from .common import ascii_lowered, emptied, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .rare_prefix import grouped, similar_steps
 
 #: Buckets of word counts, whatever the corpus: 4 MB where they are broadcast.
 COUNT_BITS = 20
 _COUNT_PARTS = 16
-_TAKEN = 8 << 20
+_COUNT_MASK = np.uint64((1 << COUNT_BITS) - 1)
+_TAKEN = 4 << 20
+#: Prefix entries that a task gathers before it deals them out, and words of the corpus for each group that is joined at a time: a fifth of them are entries.
+_GATHERED, _GROUP_WORDS = 1_000_000, 5_000_000
+#: Neighbours in a word's order by size that each line is compared with; of those further on, lines that fit no neighbour meet all the rest in the last step.
+NEIGHBOURS = 512
+#: Lines of more words have sketches of four words, whose exclusive or is the sketch of one.
+LONG_LINE = 80
+#: A line's address: 32 bits of its text's hash, which tells texts of one doc_id apart, and its number.
+_LINE_BITS = 31
+_LINE = (1 << _LINE_BITS) - 1
+
+
+def text_mark(text: str) -> int:
+    return (xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF) << _LINE_BITS
 
 
-def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines of the texts: text index, line number, offsets of their sets (n + 1), and the distinct word hashes of each line, unordered."""
+def line_sets(texts: pa.Array, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines of the texts: text index, line number, offsets of their sets (n + 1), and the distinct word hashes of each line, by the counts of their buckets, if given, then by hash."""
     lines = pc.split_pattern(texts, "\n")
-    counts = np.asarray(pc.list_value_length(lines), dtype=np.int64)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    per_text = np.asarray(pc.list_value_length(lines), dtype=np.int64)
+    owner = np.repeat(np.arange(len(per_text)), per_text)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     offsets, words = space_words(ascii_lowered(pc.list_flatten(lines)))
     if not len(words):
         return owner, number, np.zeros(len(owner) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    size = len(words.dictionary)
+    hashes = unique_hashes(words)
+    order = np.argsort(hashes) if counts is None else np.lexsort((hashes, counts[hashes & _COUNT_MASK]))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
     line = np.repeat(np.arange(len(owner)), np.diff(offsets))
-    keys = np.asarray(pc.unique(pa.array(line * size + np.asarray(words.indices))))  # in order of the lines
-    line, code = np.divmod(keys, size)
-    hashes = word_hashes(pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), words.dictionary))
-    return owner, number, np.searchsorted(line, np.arange(len(owner) + 1)), hashes
+    keys = np.sort(line * len(order) + rank[np.asarray(words.indices)])
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    line, place = np.divmod(keys, len(order))
+    return owner, number, np.searchsorted(line, np.arange(len(owner) + 1)), hashes[order][place]
+
+
+def unique_hashes(words: pa.DictionaryArray) -> np.ndarray:
+    """word_hashes() of the dictionary."""
+    return word_hashes(pa.DictionaryArray.from_arrays(pa.array(np.arange(len(words.dictionary), dtype=np.int32)), words.dictionary))
 
 
 def word_counts(documents: DataFrame) -> np.ndarray:
     """How often words of each hash bucket occur in all documents; the result has a fixed size."""
-    mask, width = (1 << COUNT_BITS) - 1, (1 << COUNT_BITS) // _COUNT_PARTS
+    width = (1 << COUNT_BITS) // _COUNT_PARTS
 
     def count(batches):
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        for b in slices(batches):
+        for b in slices(batches, limit=_TAKEN):
             _, words = space_words(ascii_lowered(text_array(b.column("text"))))
             if len(words):
-                once = word_hashes(pa.DictionaryArray.from_arrays(pa.array(np.arange(len(words.dictionary), dtype=np.int32)), words.dictionary))
-                total += np.bincount((once & np.uint64(mask)).astype(np.int64), np.bincount(np.asarray(words.indices), minlength=len(once)), minlength=mask + 1).astype(np.int64)
+                np.add.at(total, unique_hashes(words) & _COUNT_MASK, np.bincount(np.asarray(words.indices), minlength=len(words.dictionary)))
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(_COUNT_PARTS), pa.int32()), pa.array([total[p * width : (p + 1) * width].tobytes() for p in range(_COUNT_PARTS)], pa.binary())], names=["part", "block"])
 
@@ -67,7 +93,8 @@ def word_counts(documents: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "block"])
 
     out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    for r in documents.select("text").mapInArrow(count, "part int, block binary").repartition(_COUNT_PARTS, "part").mapInArrow(add, "part int, block binary").collect():  # _COUNT_PARTS rows of a fixed size
+    sums = documents.select("text").mapInArrow(count, "part int, block binary").repartition(_COUNT_PARTS, "part").mapInArrow(add, "part int, block binary")
+    for r in stored(sums, "counts").collect():  # _COUNT_PARTS rows of a fixed size
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["block"], dtype=np.int64)
     return out
 
@@ -77,98 +104,162 @@ def least_common(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
 
+def parity_sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of sets of mixed hashes (offsets n + 1, none empty): four words of 64 parity bits each."""
+    out = np.empty((len(offsets) - 1, 4), dtype=np.uint64)
+    bit, word = np.uint64(1) << (hashes >> np.uint64(58)), (hashes >> np.uint64(56)) & np.uint64(3)
+    for k in range(4):
+        out[:, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), offsets[:-1])
+    return out
+
+
 def _posting_types(wide: bool) -> tuple[str, ...]:
-    """token, digest, sketch, then size, position, document and line, which mostly fit 16 bits."""
-    return ("<u4", "<u4", "<u8", *("<u4" if wide else "<u2",) * 4)
+    """token, digest, sketch, the further three words of long lines, then size, position, document and line, which mostly fit 16 bits."""
+    return ("<u4", "<u8", "<u8", "<u8", *("<u4" if wide else "<u2",) * 4)
+
+
+class _Entries:
+    """Prefix entries of several slices of texts, and the documents that they belong to."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
+        self.columns: list[list[np.ndarray]] = []
+        self.documents = self.rows = 0
 
+    def add(self, ids: np.ndarray, marks: np.ndarray, token, digest, sketches, size, position, document, line) -> None:
+        self.ids.append(ids), self.marks.append(marks)
+        self.columns.append([token, digest, sketches, size.astype("<u4"), position.astype("<u4"), (document + self.documents).astype("<u4"), line.astype("<u4")])
+        self.documents += len(ids)
+        self.rows += len(token)
 
-def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: int) -> DataFrame:
+    def blocks(self, groups: int) -> Iterator[tuple[int, bytes]]:
+        """(group, block), dealt by word."""
+        if not self.rows:
+            return
+        ids, marks = np.concatenate(self.ids), np.concatenate(self.marks)
+        token, digest, sketches, *small = (np.concatenate(x) for x in zip(*self.columns, strict=True))
+        sketch = np.bitwise_xor.reduce(sketches, axis=1)
+        for p, own in dealt((token & np.uint64(0xFFFFFFFF)) % np.uint64(groups), groups):
+            used, index = np.unique(small[2][own], return_inverse=True)
+            numbers = [small[0][own], small[1][own], index, small[3][own]]
+            wide = max(int(x.max()) for x in numbers) > 0xFFFF
+            columns = [token[own] >> np.uint64(32), digest[own], sketch[own], sketches[own[small[0][own] > LONG_LINE], 1:].ravel(), *numbers]
+            yield p, bytes([wide]) + pack(ids[used], marks[used], *(x.astype(t) for x, t in zip(columns, _posting_types(wide), strict=True)))
+
+
+def _prefix_blocks(documents: DataFrame, counts: np.ndarray, percent: int, n: int, groups: int) -> DataFrame:
     """(part, kind, block): kind 0 the prefixes of each task's distinct sets, dealt by word; kind 1 the lines that repeat a set of the task."""
-    shared = documents.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 22) - 1).astype(np.uint32))
-    mask = np.uint64((1 << COUNT_BITS) - 1)
+    shared = documents.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     def run(batches):
+        entries = _Entries()
+        again: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            rows = [(p, 0, blob) for p, blob in entries.blocks(groups)]
+            if again:
+                rows.append((int(again[0][0][0] % groups), 1, pack(*(np.concatenate(x) for x in zip(*again, strict=True)))))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "kind", "block"])
+
         for b in slices(batches, limit=_TAKEN):
-            ids = np.asarray(b.column("doc_id"), dtype=np.int64)
-            owner, number, offsets, hashes = line_sets(text_array(b.column("text")))
+            ids, texts = np.asarray(b.column("doc_id"), dtype="<i8"), text_array(b.column("text"))
+            owner, number, offsets, hashes = line_sets(texts, shared.value)
             if not len(hashes):
                 continue
+            marks = np.fromiter(map(text_mark, texts.to_pylist()), dtype="<i8", count=len(texts))
             size = np.diff(offsets)
             full = np.flatnonzero(size)
             mixed = mix(hashes)
-            digest, sketch = np.zeros(len(size), dtype=np.uint64), np.zeros(len(size), dtype=np.uint64)
+            digest, sketches = np.zeros(len(size), dtype=np.uint64), np.zeros((len(size), 4), dtype=np.uint64)
             digest[full] = np.add.reduceat(mixed, offsets[:-1][full])
-            sketch[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), offsets[:-1][full])
+            sketches[full] = parity_sketches(mixed, np.append(offsets[:-1][full], offsets[-1]))
+            sketch = np.bitwise_xor.reduce(sketches, axis=1)
             # of equal sets the first line by document and number stands for all
             order = full[np.lexsort((number[full], ids[owner[full]], sketch[full], digest[full]))]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (digest[order[1:]] != digest[order[:-1]]) | (sketch[order[1:]] != sketch[order[:-1]])
-            again = order[~new]
+            copy = order[~new]
             base = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][~new]
-            later = again[(ids[owner[again]] != ids[owner[base]]) | (number[again] != number[base])]
-            parts, kinds, blobs = [], [], []
-            if len(later):
-                parts, kinds, blobs = [int(ids[0] % n)], [1], [pack(ids[owner[later]], number[later].astype("<i8"))]
-            first = np.zeros(len(size), dtype=bool)
-            first[order[new]] = True
-            line = np.repeat(np.arange(len(size)), size)
-            mine = first[line]
-            line, hashes = line[mine], hashes[mine]
-            rarity = (shared.value[(hashes & mask).astype(np.int64)].astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
-            order = np.lexsort((rarity, line))
-            line, hashes = line[order], hashes[order]
-            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            position = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
-            prefix = position <= size[line] - least_common(size[line], percent)
-            line, hashes, position = line[prefix], mix(hashes[prefix]), position[prefix]
-            for p, own in dealt((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(n), n):
-                used, index = np.unique(owner[line[own]], return_inverse=True)
-                parts.append(p), kinds.append(0)
-                small = [size[line[own]], position[own], index, number[line[own]]]
-                wide = max(int(x.max()) for x in small) > 0xFFFF
-                columns = [(hashes[own] >> np.uint64(32)), digest[line[own]] >> np.uint64(32), sketch[line[own]], *small]
-                blobs.append(bytes([wide]) + pack(ids[used], *(x.astype(t) for x, t in zip(columns, _posting_types(wide), strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "block"])
-
-    return documents.mapInArrow(run, "part int, kind int, block binary").repartition(n, "part")
+            copy = copy[(ids[owner[copy]] != ids[owner[base]]) | (number[copy] != number[base])]
+            if len(copy):
+                again.append((ids[owner[copy]], marks[owner[copy]] | number[copy]))
+            taken = np.zeros(len(size), dtype=bool)
+            taken[order[new]] = True
+            length = np.where(taken, size - least_common(size, percent) + 1, 0)
+            line = np.repeat(np.arange(len(size)), length)
+            position = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length)
+            entries.add(ids, marks, mixed[offsets[:-1][line] + position], digest[line], sketches[line], size[line], position, owner[line], number[line])
+            if entries.rows >= _GATHERED:
+                yield flush()
+                entries, again = _Entries(), []
+        if entries.rows or again:
+            yield flush()
+
+    return documents.mapInArrow(run, "part int, kind int, block binary").repartition(n, "part").sortWithinPartitions("part")
 
 
 def _candidates(blocks: DataFrame, percent: int, slots: int) -> DataFrame:
     """ROWS for documents: kind 0 lines that repeat an earlier set; kind 1 for each later line and word the candidate that is closest by
-    sketch, as (line, earlier document, earlier line, whether there are others); kind 2 all lines of candidates."""
+    sketch, as (line, bits between the sketches, earlier document, earlier line, whether there are others); kind 2 all lines of candidates. A group at a time is held."""
 
     def run(batches):
-        columns: list[list[np.ndarray]] = []
-        for b in batches:
-            for kind, blob in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
+        for group in grouped(batches, "part"):
+            columns: list[list[np.ndarray]] = []
+            for kind, blob in zip(group.column("kind").to_pylist(), group.column("block").to_pylist(), strict=True):
                 if kind == 1:
                     yield from by_slot(*unpack(blob, "<i8", "<i8"), 0, slots)
                 else:
-                    ids, *rest, index, line = unpack(blob[1:], "<i8", *_posting_types(bool(blob[0])))
-                    columns.append([*rest, ids[index], line.astype(np.int64)])
-        if not columns:
-            return
-        token, digest, sketch, size, position, doc, line = (np.concatenate(x) for x in zip(*columns, strict=True))
-        columns = []
-        order = np.lexsort((line, doc, sketch, digest, size, token))
-        token, digest, sketch, size, position, doc, line = (x[order] for x in (token, digest, sketch, size, position, doc, line))
+                    ids, marks, token, digest, sketch, more, size, position, index, line = unpack(blob[1:], "<i8", "<i8", *_posting_types(bool(blob[0])))
+                    wide = np.zeros((len(token), 4), dtype=np.uint64)
+                    wide[size > LONG_LINE, 1:] = more.reshape(-1, 3)
+                    wide[:, 0] = sketch ^ np.bitwise_xor.reduce(wide, axis=1)
+                    columns.append([token, digest, sketch, wide, size, position, ids[index], marks[index] | line])
+            if columns:
+                yield from joined(*(np.concatenate(x) for x in zip(*columns, strict=True)))
+
+    def joined(token, digest, sketch, wide, size, position, doc, line):
+        order = np.lexsort((line & _LINE, doc, sketch, digest, size, token))
+        token, digest, sketch, wide, size, position, doc, line = (x[order] for x in (token, digest, sketch, wide, size, position, doc, line))
         first = np.ones(len(token), dtype=bool)
         first[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1]) | (sketch[1:] != sketch[:-1]) | (size[1:] != size[:-1])
         base = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        copies = ~first & (position == 0) & ((doc != doc[base]) | (line != line[base]))
+        copies = ~first & (position == 0) & ((doc != doc[base]) | ((line ^ line[base]) & _LINE != 0))
         yield from by_slot(doc[copies], line[copies], 0, slots)
-        token, sketch, size, position, doc, line = (x[first] for x in (token, sketch, size, position, doc, line))
-        a, b = similar_candidates(token, size, position, sketch, percent)
-        swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-        later, earlier = np.where(swap, a, b), np.where(swap, b, a)
-        order = np.lexsort((line[earlier], doc[earlier], np.bitwise_count(sketch[a] ^ sketch[b]), later))
-        later, earlier = later[order], earlier[order]
-        best = np.ones(len(later), dtype=bool)
-        best[1:] = later[1:] != later[:-1]
-        several = np.isin(later, later[~best])
-        yield from by_slot(doc[later[best]], np.stack([line[later], doc[earlier], line[earlier], several.astype(np.int64)], axis=1)[best], 1, slots)
-        sides = np.unique(np.concatenate([later, earlier[best | several]]))
-        yield from by_slot(doc[sides], line[sides], 2, slots)
+        token, sketch, wide, size, position, doc, line = (x[first] for x in (token, sketch, wide, size, position, doc, line))
+
+        def away(a, b):
+            bits = np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64)
+            both = np.flatnonzero((size[a] > LONG_LINE) & (size[b] > LONG_LINE))
+            bits[both] = np.bitwise_count(wide[a[both]] ^ wide[b[both]]).sum(axis=1)
+            return bits
+
+        order = np.lexsort((line & _LINE, doc))
+        place = np.empty(len(order), dtype=np.int64)  # by document and number; lines of one place are not earlier than one another
+        place[order] = np.cumsum(np.concatenate([[0], (doc[order[1:]] != doc[order[:-1]]) | ((line[order[1:]] ^ line[order[:-1]]) & _LINE != 0)])) if len(order) else 0
+        none = np.iinfo(np.int64).max
+        best, partner, met, involved = np.full(len(token), none), np.zeros(len(token), dtype=np.int64), np.zeros(len(token), dtype=np.int32), np.zeros(len(token), dtype=bool)
+        for a, b, bits in similar_steps(token, size, position, away, percent, NEIGHBOURS):
+            if a is b:  # all lines with one of these words may have others beyond their neighbours
+                crowded = np.flatnonzero(np.isin(token, token[a]))
+                first_of = np.flatnonzero(np.concatenate([[True], token[crowded[1:]] != token[crowded[:-1]]])) if len(crowded) else crowded
+                least = np.minimum.reduceat(place[crowded], first_of) if len(crowded) else crowded
+                lead = order[np.searchsorted(place[order], np.repeat(least, np.diff(np.append(first_of, len(crowded)))))]
+                involved[crowded], met[crowded] = True, 2
+                alone = (best[crowded] == none) & (place[lead] < place[crowded])
+                best[crowded[alone]], partner[crowded[alone]] = 256 << 48, lead[alone]
+                continue
+            involved[a], involved[b] = True, True
+            for later, earlier, key in ((a, b, (bits << 48) + place[b]), (b, a, (bits << 48) + place[a])):
+                own = place[earlier] < place[later]
+                later, earlier, key = later[own], earlier[own], key[own]
+                met[later] += 1
+                closer = key < best[later]
+                best[later[closer]], partner[later[closer]] = key[closer], earlier[closer]
+        later = np.flatnonzero(best < none)
+        earlier = partner[later]
+        yield from by_slot(doc[later], np.stack([line[later], best[later] >> 48, doc[earlier], line[earlier], met[later] > 1], axis=1), 1, slots)
+        yield from by_slot(doc[involved], line[involved], 2, slots)
 
     return blocks.mapInArrow(run, ROWS)
 
@@ -189,41 +280,61 @@ def _without(text: str, removed: set[int], digests: bool) -> tuple[int, int, str
     return len(lines), len(lines) - len(kept), hashlib.sha256(left.encode()).hexdigest() if digests else left
 
 
-def _judged(rows: DataFrame, digests: bool) -> DataFrame:
-    """TABLE: documents without a later line of a pair are done; the others stay open; pairs to verify; and the sets of all lines of pairs."""
+def _of_text(values: np.ndarray, text: str) -> np.ndarray:
+    """The distinct values (of one or more numbers, an address first) that belong to the text, with the line's number for its address."""
+    if not len(values):
+        return values
+    own = np.unique(values[values[:, 0] & ~_LINE == text_mark(text)], axis=0)
+    own[:, 0] &= _LINE
+    return own
 
-    def member_rows(wanted: list[tuple[int, int, str]]) -> list[tuple]:
+
+def _judged(rows: DataFrame, counts: np.ndarray, digests: bool) -> DataFrame:
+    """TABLE: documents without a later line of a pair are done; the others stay open; the closest pair of each such line, with its set; and the sets of all lines of pairs, by rarity."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def set_rows(wanted: list[tuple[int, int, str, tuple | None]]) -> list[tuple]:
         if not wanted:
             return []
-        _, _, offsets, hashes = line_sets(pa.array([x[2] for x in wanted], pa.large_string()))
-        return [("member", doc, None, None, None, None, line, None, None, None, np.sort(hashes[offsets[i] : offsets[i + 1]]).tobytes()) for i, (doc, line, _) in enumerate(wanted)]
+        _, _, offsets, hashes = line_sets(pa.array([x[2] for x in wanted], pa.large_string()), shared.value)
+        out = []
+        for i, (doc, line, _, pair) in enumerate(wanted):
+            block = hashes[offsets[i] : offsets[i + 1]].tobytes()
+            out.append(("member", doc, None, None, None, None, line, None, None, None, block))
+            if pair:
+                out.append(("pair", doc, None, None, None, None, line, *pair, block))
+        return out
 
     def run(batches):
         empty = (None,) * 5
         out: list[tuple] = []
-        wanted: list[tuple[int, int, str]] = []
-        size, before = 0, None
-        for doc, text, extra, found in documents_of(batches, {0: 1, 1: 4, 2: 1}):
-            removed, pairs, members = found[0].ravel(), np.unique(found[1], axis=0), np.unique(found[2])
+        wanted: list[tuple[int, int, str, tuple | None]] = []
+        size, before, told = 0, None, set()
+        for doc, text, extra, found in documents_of(batches, {0: 1, 1: 5, 2: 1}):
+            removed, pairs, members = (_of_text(found[k], text) for k in (0, 1, 2))
             size += len(text)
             if len(pairs):
                 out.append(("open", doc, None, None, text, extra, *empty))
             else:
-                out.append(("done", doc, *_without(text, set(removed.tolist()), digests), extra, *empty))
-            if doc == before:
-                continue
-            before = doc
-            if len(pairs) and len(removed):
-                out.append(("removed", None, None, None, None, None, None, None, None, None, pack(np.full(len(removed), doc, dtype="<i8"), removed)))
-            for line, other, other_line, several in pairs.tolist():
-                out.append(("pair", doc, None, None, None, None, line, other, other_line, bool(several), None))
-            lines = text.split("\n") if len(members) else []
-            wanted += [(doc, line, lines[line]) for line in members.tolist()]
-            if size > _TAKEN // 2:
-                yield _table_batch(out + member_rows(wanted))
+                out.append(("done", doc, *_without(text, set(removed.ravel().tolist()), digests), extra, *empty))
+            if doc != before:
+                before, told = doc, set()
+            if len(members) and (mark := text_mark(text)) not in told:
+                told.add(mark)
+                if len(pairs) and len(removed):
+                    out.append(("removed", None, None, None, None, None, None, None, None, None, pack(np.full(len(removed), doc, dtype="<i8"), removed.ravel() | mark)))
+                closest: dict[int, tuple[int, int, bool]] = {}
+                for line, _, other, other_line, several in pairs.tolist():  # the closest of a line comes first
+                    first = closest.setdefault(line, (other, other_line, bool(several)))
+                    if several or first[:2] != (other, other_line):
+                        closest[line] = (*first[:2], True)
+                lines = text.split("\n")
+                wanted += [(doc, line | mark, lines[line], closest.get(line)) for line in members.ravel().tolist()]
+            if size > _TAKEN:
+                yield _table_batch(out + set_rows(wanted))
                 out, wanted, size = [], [], 0
         if out:
-            yield _table_batch(out + member_rows(wanted))
+            yield _table_batch(out + set_rows(wanted))
 
     return rows.mapInArrow(run, TABLE)
 
@@ -246,21 +357,19 @@ def _similar(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, line) of pairs (doc_id, line, other_doc, other_line) of members (doc_id, line, block) whose sets are similar."""
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line) of the pairs (doc_id, line, x, y) whose sets x and y are similar."""
 
     def run(batches):
         for b in batches:
             fits = pa.array([_similar(x, y, percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("line")], names=["doc_id", "line"]).filter(fits)
 
-    other = members.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("block").alias("y"))
-    both = pairs.join(members.withColumnRenamed("block", "x"), ["doc_id", "line"]).join(other, ["other_doc", "other_line"])
-    return both.select("doc_id", "line", "x", "y").mapInArrow(run, "doc_id bigint, line bigint").distinct()
+    return pairs.select("doc_id", "line", "x", "y").mapInArrow(run, "doc_id bigint, line bigint").distinct()
 
 
-#: Words of open lines are broadcast up to so many rows (of under 40 bytes); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Prefix words of lines in doubt are broadcast up to so many rows (of under 100 bytes); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -269,42 +378,39 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def _verified_rest(members: DataFrame, left: DataFrame, percent: int) -> DataFrame:
     """(doc_id, line) of the lines left (doc_id, line) that are similar to an earlier one of the members (doc_id, line, block)."""
+    own_columns = ["item", "doc_id", "line", "size", "position", "s0", "s1", "s2", "s3"]
 
-    def tokens(batches):
+    def prefixes(batches):
+        """A row for each prefix word, with all that rules a pair out."""
         for b in batches:
             sets = [np.frombuffer(x, dtype=np.int64) for x in b.column("block").to_pylist()]
             if sets:
                 size = np.array([len(x) for x in sets])
-                columns = [np.concatenate(sets), np.repeat(np.asarray(b.column("item")), size), np.repeat(size, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "item", "size"])
-
-    def verify(batches):
-        for b in batches:
-            found = []
-            for x, y, *places in zip(*(b.column(c).to_pylist() for c in ("x", "y", "xd", "xl", "xo", "yd", "yl", "yo")), strict=True):
-                (xd, xl, xo), (yd, yl, yo) = places[:3], places[3:]
-                doc, line, is_open = (xd, xl, xo) if (xd, xl) > (yd, yl) else (yd, yl, yo)
-                if is_open and _similar(x, y, percent):
-                    found.append((doc, line))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["doc_id", "line"])
-
-    item = F.xxhash64("doc_id", "line")
-    marked = members.join(left.withColumn("open", F.lit(True)), ["doc_id", "line"], "left").withColumn("item", item).withColumn("open", F.coalesce("open", F.lit(False)))
-    marked = stored(marked.select("doc_id", "line", "block", "item", "open"), "members")
-    every = marked.select("block", "item").mapInArrow(tokens, "token bigint, item bigint, size bigint")
-    own = stored(marked.where("open").select("block", "item").mapInArrow(tokens, "token bigint, item bigint, size bigint"), "own")
-    counts = every.join(_bounded(own.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("count"))
-    # an open line's rarest words, of which any similar set has one; words of its own line alone can't be shared, they only take the first places
-    placed = own.join(counts, "token").withColumn("position", F.row_number().over(Window.partitionBy("item").orderBy("count", "token")) - 1)
-    prefix = placed.where((F.col("position") <= F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100)) & (F.col("count") > 1))
-    prefix = stored(prefix.select("token", F.col("item").alias("a"), "position", F.col("size").alias("own_size")), "prefix")
-    met = every.join(_bounded(prefix), "token").where("item <> a")
-    both = F.col("size") + F.col("own_size")
-    common = F.least(F.col("own_size") - F.col("position"), F.col("size"))
-    fits = (100 * F.least("size", "own_size") >= percent * F.greatest("size", "own_size")) & (common * (100 + percent) >= percent * both)
-    pairs = stored(met.where(fits).select("a", F.col("item").alias("b")).distinct(), "pairs")
-    side = lambda own, p: marked.select(F.col("item").alias(own), F.col("block").alias(p), F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), F.col("open").alias(f"{p}o"))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(verify, "doc_id bigint, line bigint").distinct()
+                length = size - least_common(size, percent) + 1
+                position = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+                sketches = parity_sketches(mix(np.concatenate(sets).view(np.uint64)), np.concatenate([[0], np.cumsum(size)])).view(np.int64)
+                places = [np.repeat(np.asarray(b.column(c)), length) for c in ("item", "doc_id", "line")]
+                columns = [np.concatenate([x[:n] for x, n in zip(sets, length.tolist(), strict=True)]), *places, np.repeat(size, length), position, *np.repeat(sketches, length, axis=0).T]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", *own_columns])
+
+    members = members.withColumn("item", F.xxhash64("doc_id", "line"))
+    own = stored(members.join(left, ["doc_id", "line"], "left_semi"), "own")
+    if not own.head(1):
+        return left.limit(0)
+    kind = ", ".join(f"{c} bigint" for c in ["token", *own_columns])
+    doubt = stored(own.select("block", "item", "doc_id", "line").mapInArrow(prefixes, kind).withColumnsRenamed({c: f"a_{c}" for c in own_columns}), "doubt")
+    away = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"s{k}"))) for k in range(4)), F.lit(0))
+    number, a_number = F.col("line").bitwiseAND(_LINE), F.col("a_line").bitwiseAND(_LINE)
+    earlier = (F.col("doc_id") < F.col("a_doc_id")) | ((F.col("doc_id") == F.col("a_doc_id")) & (number < a_number))
+    both, further = F.col("size") + F.col("a_size"), F.least(F.col("size") - F.col("position"), F.col("a_size") - F.col("a_position"))
+    fits = earlier & (100 * F.least("size", "a_size") >= percent * F.greatest("size", "a_size")) & (further * (100 + percent) >= percent * both) & (away <= both - 2 * F.ceil(percent * both / (100 + percent)))
+    met = members.select("block", "item", "doc_id", "line").mapInArrow(prefixes, kind).join(_bounded(doubt), "token").where(fits)
+    near = stored(met.select(F.col("a_item").alias("a"), F.col("item").alias("b")).distinct(), "near")
+    emptied(doubt)
+    blocks = near.join(own.select(F.col("item").alias("a"), "doc_id", "line", F.col("block").alias("x")), "a").join(members.select(F.col("item").alias("b"), F.col("block").alias("y")), "b")
+    found = stored(_verified(blocks, percent), "rest")
+    emptied(near, own)
+    return found
 
 
 def _line_blocks(lines: DataFrame, slots: int) -> DataFrame:
@@ -322,9 +428,9 @@ def _finished(rows: DataFrame, digests: bool) -> DataFrame:
         out: list[tuple] = []
         size = 0
         for doc, text, extra, found in documents_of(batches, {0: 1}):
-            out.append(("done", doc, *_without(text, set(found[0].ravel().tolist()), digests), extra, *(None,) * 5))
+            out.append(("done", doc, *_without(text, set(_of_text(found[0], text).ravel().tolist()), digests), extra, *(None,) * 5))
             size += len(text)
-            if size > _TAKEN // 2:
+            if size > _TAKEN:
                 yield _table_batch(out)
                 out, size = [], 0
         if out:
@@ -347,19 +453,20 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     passed = F.col(extra).cast("string") if extra else F.lit(None).cast("string")
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", passed.alias("extra")).where("doc_id IS NOT NULL")
     slots = SLOTS_PER_PARTITION * n
-    candidates = _candidates(_prefix_blocks(documents.select("doc_id", "text"), word_counts(documents), percent, n), percent, slots)
-    texts = text_rows(documents, slots, F.col("extra"))
-    judged = stored(_judged(to_slots(texts.unionByName(candidates), n), digests), "judged")
-    members = judged.where("kind = 'member'").select("doc_id", "line", "block").distinct()
-    pairs = judged.where("kind = 'pair'").select("doc_id", "line", "other_doc", "other_line", "several")
-    opened = text_rows(judged.where("kind = 'open'"), slots, F.col("extra"))
-    decided = _again(judged.where("kind = 'removed'"), slots)
-    members = stored(members, "members")
-    resolved = stored(_verified(pairs.drop("several").distinct(), members, percent), "resolved")
-    left = pairs.where("several").select("doc_id", "line").distinct().join(resolved, ["doc_id", "line"], "left_anti")
+    counts = word_counts(documents)
+    groups = n * max(1, -(-int(counts.sum()) // (n * _GROUP_WORDS)))
+    candidates = stored(_candidates(_prefix_blocks(documents.select("doc_id", "text"), counts, percent, n, groups), percent, slots), "candidates")
+    judged = stored(_judged(to_slots(text_rows(documents, slots, F.col("extra")).unionByName(candidates), n), np.minimum(counts, (1 << 32) - 1).astype(np.uint32), digests), "judged")
+    emptied(candidates)
+    members = judged.where("kind = 'member'").select("doc_id", "line", "block")
+    pairs = judged.where("kind = 'pair'")
+    partner = members.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("block").alias("y"))
+    closest = pairs.select("doc_id", "line", "other_doc", "other_line", F.col("block").alias("x")).join(partner, ["other_doc", "other_line"])
+    resolved = stored(_verified(closest, percent), "resolved")
+    left = pairs.where("several").select("doc_id", "line").join(resolved, ["doc_id", "line"], "left_anti")
     rest = _verified_rest(members, left, percent)
-    removed = decided.unionByName(_line_blocks(resolved.unionByName(rest), slots))
-    finished = _finished(to_slots(opened.unionByName(removed), n), digests)
+    removed = _again(judged.where("kind = 'removed'"), slots).unionByName(_line_blocks(resolved.unionByName(rest), slots))
+    finished = _finished(to_slots(text_rows(judged.where("kind = 'open'"), slots, F.col("extra")).unionByName(removed), n), digests)
     return judged.where("kind = 'done'").unionByName(finished).select("doc_id", "n_lines", "n_removed", F.col("text").alias("kept"), "extra")
 
 
