@@ -9,6 +9,7 @@ place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,7 +27,22 @@ from .common import slices, space_words, stored, table, text_array
 
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
+
+# The steps of a tokenizer that keep apart what ASCII white space separates, and lower-case letters before they are split.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 
 #: Letters whose composed form and lower case are the same everywhere, then marks: each of both is one pre-token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
@@ -39,18 +55,23 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class WordTokenizer:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins what ASCII white space separates: each distinct word is encoded once.
+def encodes_words(path: str) -> bool:
+    """Whether the tokenizer's steps are WORD_STEPS and no added token has white space or takes it from around it."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    plain = all(not re.search(r"\s", t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in found.get("added_tokens", []))
+    return plain and all(found.get(k) == v for k, v in WORD_STEPS.items())
 
-    With plain_words, plain words go to the tokenizer's model directly, lower-cased and in byte letters; for tokenizers that do just that to them.
-    """
 
-    def __init__(self, path: str, plain_words: bool = True):
+class WordTokenizer:
+    """Ids of texts. Where the tokenizer encodes_words(), each distinct word is encoded once, plain ones by the tokenizer's model directly, lower-cased and in byte letters; of any other, whole texts are encoded."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain_words = plain_words
+        self.by_words = encodes_words(path)
         self.letters = _byte_letters()
         self._forget()
 
@@ -68,7 +89,7 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         others = []
         for word in words:
-            found = _PLAIN.fullmatch(word) if self.plain_words else None
+            found = _PLAIN.fullmatch(word)
             if found is None:
                 others.append(word)
                 continue
@@ -82,6 +103,9 @@ class WordTokenizer:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids (n + 1), and all ids (uint32)."""
+        if not self.by_words:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64), np.array([i for x in found for i in x], dtype=np.uint32)
         offsets, words = space_words(texts)
         if not len(words):
             return np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint32)
