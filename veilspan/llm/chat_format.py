@@ -20,8 +20,8 @@ from .common import table
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: A longer conversation is rendered in segments if its template is concatenative: of at most so many turns, and closed once so many characters long.
-SEGMENT_TURNS, SEGMENT_CHARS = 32, 1 << 20
+#: Of a concatenative template, turns before the last so many are rendered no more.
+REMEMBERED = 32
 
 _CONTROL = re.compile(r"[\\#<]")
 _ROLE_CONTROL = re.compile(r"[\\#<:]")
@@ -53,7 +53,6 @@ class Piece:
     role: str
     start: int
     text: str
-    new_segment: bool
     rewrites: bool
 
 
@@ -68,25 +67,23 @@ def common_length(a: str, b: str) -> int:
 def rendered_pieces(turns: Iterable[Turn], template: Template, concatenative: bool | None = None) -> Iterator[Piece]:
     """Renders successive prefixes and cuts the outputs where they first differ.
 
-    concatenative: the template writes each turn by itself, whatever stands before, and nothing besides. Only then is a long conversation
-    rendered in segments; of any other template each prefix is the whole conversation so far, which is held, and n turns cost n renderings.
-    By default marked_template alone counts as concatenative.
+    concatenative: the template writes each turn by itself, whatever stands before, and nothing besides. Only then do the last turns
+    stand for all: a conversation of any length is held to REMEMBERED turns, and the pieces and spans are those of the whole output. Of any
+    other template each prefix is the whole conversation so far, which is held, and n turns cost n renderings. By default marked_template
+    alone counts as concatenative.
     """
     if concatenative is None:
         concatenative = template is marked_template
     prefix: list[Turn] = []
-    before = ""
+    before, forgotten = "", 0
     for turn in turns:
-        fresh = not prefix or concatenative and (len(prefix) >= SEGMENT_TURNS or len(before) >= SEGMENT_CHARS)
-        if fresh:
-            prefix, before = [], template([])
+        if concatenative and len(prefix) >= REMEMBERED:
+            prefix, before, forgotten = [], "", forgotten + len(before)
         prefix.append(turn)
         now = template(list(prefix))  # a template may change its list
         kept = now.startswith(before)
         at = len(before) if kept else common_length(before, now)
-        if fresh:
-            at = 0  # an opening that the template writes before any turn belongs to the first
-        yield Piece(turn[0], at, now[at:], fresh, not kept)
+        yield Piece(turn[0], forgotten + at, now[at:], not kept)
         before = now
 
 
@@ -111,15 +108,12 @@ def _by_conversation(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-PIECES = "conv_id bigint, position bigint, role string, segment bigint, start bigint, `end` bigint, piece string, in_loss boolean, rewrites_history boolean"
+PIECES = "conv_id bigint, position bigint, role string, start bigint, `end` bigint, piece string, in_loss boolean, rewrites_history boolean"
 
 
 def format_conversations(conversations: DataFrame, template: Template = marked_template, loss_roles: tuple[str, ...] = ("assistant",), concatenative: bool | None = None) -> DataFrame:
-    """One row per turn: its position, its segment of the conversation, the span [start, end) it has in the output up to this turn, the text
-    of that span, whether it is under the loss mask, and whether the template rewrote what stood before.
-
-    A conversation is one segment, unless the template is concatenative (see rendered_pieces): then the outputs, and so the spans, are
-    those of segments of 32 turns.
+    """One row per turn: its position, the span [start, end) it has in the output up to this turn, the text of that span, whether it is under
+    the loss mask, and whether the template rewrote what stood before. An opening that the template writes before any turn belongs to the first.
 
     Rows are ordered by turn, then role, then text. Null roles and texts count as empty; a null conv_id is a conversation of its own;
     repeated rows are turns like others; an empty table gives no rows; other columns are ignored.
@@ -127,19 +121,17 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
 
     def run(batches):
         for conv, turns in _conversations(batches):
-            segment = -1
             rows: list[tuple] = []
             for position, p in enumerate(rendered_pieces(turns, template, concatenative)):
-                segment += p.new_segment
-                rows.append((conv, position, p.role, segment, p.start, p.start + len(p.text), p.text, p.role in loss_roles, p.rewrites))
+                rows.append((conv, position, p.role, p.start, p.start + len(p.text), p.text, p.role in loss_roles, p.rewrites))
                 if len(rows) >= 1000:
                     yield _batch(rows, names, types)
                     rows = []
             if rows:
                 yield _batch(rows, names, types)
 
-    names = ["conv_id", "position", "role", "segment", "start", "end", "piece", "in_loss", "rewrites_history"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+    names = ["conv_id", "position", "role", "start", "end", "piece", "in_loss", "rewrites_history"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
     return _by_conversation(conversations).mapInArrow(run, PIECES)
 
 
@@ -153,7 +145,7 @@ DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigin
 def conversation_digests(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Formats each conversation with marked_template and reads it back: one row per conversation of digests of what was read.
 
-    The digests are taken as the pieces come, so the longest conversation needs no more memory than one segment.
+    The digests are taken as the pieces come, so the longest conversation needs no more memory than REMEMBERED turns.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
