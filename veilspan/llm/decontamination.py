@@ -61,11 +61,12 @@ def phrase_candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def confirmed_phrases(documents: DataFrame, candidates: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, hits) with hits (start, wid, length) of the candidates whose words all agree, for documents that have any."""
-    per_document = candidates.join(_small(windows), "wid").groupBy("doc_id").agg(F.collect_list(F.struct("start", "wid", "words")).alias("found"))
+    """(doc_id, hits) with hits (wid, length, starts) of the candidates whose words all agree, for documents that have any. A window's words are held once a document, however often it occurs."""
+    starts = candidates.groupBy("doc_id", "wid").agg(F.collect_list("start").alias("starts"))
+    per_document = starts.join(_small(windows), "wid").groupBy("doc_id").agg(F.collect_list(F.struct("wid", "words", "starts")).alias("found"))
     whole = documents.select("doc_id", "text").join(per_document, "doc_id").select("doc_id", word_array(F.col("text")).alias("w"), "found")
-    fits = F.filter("found", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["words"])) == c["words"])
-    hits = F.transform(fits, lambda c: F.struct(c["start"].alias("start"), c["wid"].alias("wid"), F.size(c["words"]).alias("length")))
+    fits = lambda c: F.filter(c["starts"], lambda s: F.slice(F.col("w"), s + 1, F.size(c["words"])) == c["words"])
+    hits = F.filter(F.transform("found", lambda c: F.struct(c["wid"].alias("wid"), F.size(c["words"]).alias("length"), fits(c).alias("starts"))), lambda h: F.size(h["starts"]) > 0)
     return whole.select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
 
 
@@ -81,7 +82,7 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     index = build_index(documents, windows.select(F.explode("words").alias("term")))
     candidates = stored(phrase_candidates(index.where(F.col("term") != END), windows), "candidates")
     hits = stored(confirmed_phrases(documents, candidates, windows), "hits")
-    covered = hits.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))).alias("position"))
+    covered = hits.select("doc_id", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform("hits", lambda h: F.transform(h["starts"], lambda s: F.sequence(s, s + h["length"] - 1))))))).alias("position"))
     n_hit = covered.distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     of_items = hits.select("doc_id", F.explode(F.array_distinct(F.transform("hits", lambda h: h["wid"]))).alias("wid")).join(_small(owners), "wid")
     of_items = of_items.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
