@@ -135,6 +135,22 @@ def test_toxicity(spark, docs, none):
     assert 0 <= empty.scores(np.array([0, 0]), np.zeros(0, dtype=np.int64))[0] <= 1
 
 
+def test_machine_scores_by_naive_pairs():
+    r = np.random.default_rng(6)
+    size = 1 << toxicity.SLOT_BITS
+    machine = toxicity.FactorizationMachine(-0.3, np.zeros(size, np.float32), np.zeros((size, 4), np.float32), np.zeros(size, np.float32))
+    used = r.choice(size, 40, replace=False)
+    machine.weights[used], machine.factors[used], machine.rarity[used] = r.normal(size=40), r.normal(size=(40, 4)), r.random(40)
+    sets = [np.sort(r.choice(used, n, replace=False)) for n in (0, 1, 2, 7, 30)]
+    got = machine.scores(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets))
+    for score, own in zip(got, sets, strict=True):
+        norm = sum(float(machine.rarity[i]) ** 2 for i in own) ** 0.5
+        share = {i: toxicity.SHARE_NORM * float(machine.rarity[i]) / norm for i in own}
+        total = -0.3 + sum(float(machine.weights[i]) for i in own)
+        total += sum(share[i] * share[j] * float(machine.factors[i].astype(float) @ machine.factors[j].astype(float)) for a, i in enumerate(own) for j in own[:a])
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-6
+
+
 def test_toxicity_learns_crossed_pairs():
     r = random.Random(3)
     pairs = [("alpha", "bravo"), ("gamma", "delta"), ("alpha", "delta"), ("gamma", "bravo")]  # the first two are toxic; no word alone tells
@@ -167,6 +183,35 @@ def test_fingerprints(docs, none):
     assert sorted(lz_fingerprint.phrase_hashes([1, 1, 2, 1, 2])) == sorted({1, (lz_fingerprint._STEP + 2) & (1 << 64) - 1, 2} - {2})
 
 
+def test_signatures_by_plain_parse():
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor & full
+        return x
+
+    step = 0x9E3779B97F4A7C15
+    factors, shifts = [mixed(k) | 1 for k in range(1, 65)], [mixed(k) for k in range(1001, 1065)]
+    texts = [t or "" for t in TEXTS if len(t or "") < 6000] + ["abc " * 50, "x" * 33 + " " + "é" * 17]
+    for text, row in zip(texts, lz_fingerprint.signatures(texts), strict=True):
+        symbols = [w[i : i + 16] for w in split(text) for i in range(0, len(w), 16)]
+        phrases, phrase = set(), ()
+        for s in symbols:
+            phrase += (s,)
+            if phrase not in phrases:
+                phrases.add(phrase)
+                phrase = ()
+        hashed = []
+        for p in phrases:
+            h = 0
+            for s in p:
+                b = s.encode()
+                h = (h * step + mixed(sum(mixed((c + (i + 1) * step) & full) for i, c in enumerate(b)) + len(b) & full)) & full
+            hashed.append(mixed(h))
+        assert row.tolist() == [min(((h * f + a) & full) >> 32 for h in hashed) if hashed else 0xFFFFFFFF for f, a in zip(factors, shifts, strict=True)]
+
+
 def test_chat_format(spark):
     nasty = ["\\### Assistant: </turn> ok", "", None, "\\", "\\\\<", "### user: x</turn>\n", "é漢🙂", "#" * 2000]
     rows = [(c, t, ["user", "assistant", "a:b", None][(c + t) % 4], nasty[(c * 7 + t) % len(nasty)], "x") for c in range(5) for t in range(40 * (c == 2) + 3)]
@@ -186,7 +231,8 @@ def test_chat_format(spark):
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == len(chat_format.marked_template(turns))
     pieces = chat_format.format_conversations(df.where("conv_id = 2")).orderBy("position").collect()
-    assert [p.segment for p in pieces] == [k // chat_format.SEGMENT_TURNS for k in range(43)] and all(p.end - p.start == len(p.piece) for p in pieces)
+    whole = chat_format.marked_template([(r[1], x[1]) for _, r, x in sorted(groups[2])])
+    assert len(pieces) == 43 and "".join(p.piece for p in pieces) == whole and all(whole[p.start : p.end] == p.piece for p in pieces)
     assert chat_format.conversation_digests(df.limit(0)).count() == 0
     headed = list(chat_format.rendered_pieces([("a", "x"), ("b", "y")], lambda ts: "HEAD " + " ".join(t for _, t in ts)))
     assert [p.text for p in headed] == ["HEAD x", " y"]
@@ -200,14 +246,15 @@ def test_long_conversations_of_any_template(spark):
     numbered = lambda ts: "<s>" + "".join(f"{k} {r}: {t}\n" for k, (r, t) in enumerate(ts))
     rows = chat_format.format_conversations(df, numbered).orderBy("position").collect()
     assert "".join(r.piece for r in rows) == numbered(turns) and not any(r.rewrites_history for r in rows)
-    assert all(numbered(turns)[r.start : r.end] == r.piece and r.segment == 0 for r in rows)
+    assert all(numbered(turns)[r.start : r.end] == r.piece for r in rows)
     dropping = lambda ts: "<s>" + "".join(f"{r}: {t}\n" for k, (r, t) in enumerate(ts) if k != 5 or len(ts) <= 40)
     rows = chat_format.format_conversations(df, dropping).orderBy("position").collect()
     assert [r.position for r in rows if r.rewrites_history] == [40]
     assert all(dropping(turns[: k + 1])[r.start : r.end] == r.piece and r.end == len(dropping(turns[: k + 1])) for k, r in enumerate(rows))
     window = lambda ts: "".join(f"{r}: {t}\n" for r, t in ts[-36:])
     assert [k for k, p in enumerate(chat_format.rendered_pieces(turns, window)) if p.rewrites] == list(range(36, 43))
-    assert sum(p.new_segment for p in chat_format.rendered_pieces(turns, window, concatenative=True)) == 2
+    seen = []
+    assert len(list(chat_format.rendered_pieces(turns, lambda ts: seen.append(len(ts)) or chat_format.marked_template(ts), concatenative=True))) == 43 and max(seen) == chat_format.REMEMBERED
 
 
 def lines_expected(rows):
@@ -411,6 +458,20 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+@pytest.mark.parametrize("name,by_words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_tokenizers_encode_whole_texts(name, by_words):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = [t or "" for t in TEXTS] + ["it's  we'll\tDON'T  ", " e\u0301 \u0301x \u212b\u00a0y", "<|endoftext|> a<|endoftext|>b", "3.14 1,000 ... !!", "İstanbul ǅ \u1e9b\u0323"]
+    encode = packing.WordTokenizer(path)
+    offsets, ids = encode(pa.array(texts, pa.large_string()))
+    whole = Tokenizer.from_file(path)
+    assert encode.by_words == by_words
+    assert all(ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
 def test_pack_lengths_is_close_to_the_bound():
     r = random.Random(2)
     for _ in range(20):

@@ -9,7 +9,7 @@ Round one walks a crowded order from neighbour to neighbour: blocks of classes w
 joined. Round two takes each region anew and finds the classes with a partner that their signatures admit and that is not yet
 connected: in a sparse region all that there is, in a crowded one what the walk has not reached, so depth adapts to the region and
 nothing is capped. Of these, pairs are tried that share one of the rarest shingles which two linked sets must share. Every link is
-confirmed on both sets.
+confirmed on both sets. Pairs whose signatures agree on less than LEAST_AGREEMENT are not tried: another 2 of 10 billion at 0.8.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lowered, document_shingles, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .common import ascii_lowered, document_shingles, emptied, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
 from .components import UnionFind, connected_components
 from .rare_prefix import grouped, rare_prefix_pairs
 
@@ -57,16 +57,16 @@ def minima(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def set_signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature) of each document."""
+    """(doc_id, mark, n_shingles, digest of the set, signature) of each document (doc_id, mark, text)."""
 
     def run(batches):
         for b in slices(batches):
             offsets, hashes = text_shingles(text_array(b.column("text")), width)
             rows = minima(offsets, hashes)
             digests = [xxhash.xxh3_128_digest(hashes[offsets[i] : offsets[i + 1]].tobytes()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(np.diff(offsets)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "mark", "n_shingles", "digest", "signature"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
+    return documents.select("doc_id", "mark", "text").mapInArrow(run, "doc_id bigint, mark bigint, n_shingles bigint, digest binary, signature binary")
 
 
 def _signature_rows(column) -> np.ndarray:
@@ -205,20 +205,21 @@ def confirmed_links(blocks: DataFrame, texts: DataFrame, width: int, percent: in
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per document (doc_id, text): doc_id, mark (a hash of its text), n_shingles, component_id, kept.
 
     Documents are linked where 100 * intersection >= percent * union of their distinct shingles of `width` words; component_id is the
-    smallest doc_id that links reach, and kept says whether it is the document's own. A document of fewer words has one shingle, a null
-    or blank one has none and is linked with nothing. Repeated rows each return; rows with a null doc_id are left out; an empty table
-    gives no rows; other columns are ignored.
+    smallest doc_id that links reach, and kept says whether the document is the first of those by doc_id, then by mark. A document of
+    fewer words has one shingle, a null or blank one has none and is linked with nothing. Repeated rows each return; several texts of one
+    doc_id are documents each; rows with a null doc_id are left out; an empty table gives no rows; other columns are ignored.
     """
-    documents = documents.select("doc_id", "text").where("doc_id IS NOT NULL")
+    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).where("doc_id IS NOT NULL")
     signatures = stored(set_signatures(documents, width), "signatures")
-    classes = signatures.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = stored(classes, "classes")
+    classes = signatures.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    # from here on, doc_id numbers the classes
+    classes = stored(classes.withColumn("doc_id", F.monotonically_increasing_id()), "classes")
     regions = stored(forest_regions(classes), "regions")
-    near = regions.select("doc_id").distinct()
-    texts = stored(documents.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    near = classes.join(regions.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("least.doc_id").alias("least"), F.col("least.mark").alias("mark"))
+    texts = stored(documents.withColumnRenamed("doc_id", "least").join(near, ["least", "mark"]).select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
     wide = classes.select("doc_id", "n_shingles", "signature")
     walked = regions.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("members"), "region"))).where(F.col("k") <= WALKED)
     blocks = _walk_blocks(walked.join(wide, "doc_id").select("region", "tree", "doc_id", "signature"))
@@ -226,13 +227,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     joined = connected_components(links)
     labelled = regions.join(wide, "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = stored(_unconnected(labelled.select("region", "doc_id", "n_shingles", "signature", "component"), percent / 100), "apart")
+    emptied(regions)
     pairs = stored(_prefix_pairs(texts.join(apart, "doc_id"), width, percent), "pairs")
     more = stored(confirmed_links(_center_blocks(pairs), texts, width, percent), "links")
+    emptied(texts, pairs)
     components = connected_components(links.unionByName(more)) if more.head(1) else joined
-    of_class = classes.select("digest", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return signatures.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    of_class = classes.select("digest", "least", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", "least", F.coalesce("component", "doc_id").alias("component"))
+    first = stored(of_class.groupBy("component").agg(F.min("least").alias("first")), "first")
+    of_class = stored(of_class.join(first, "component").select("digest", "first"), "labels")
+    alone = F.col("n_shingles") == 0
+    return signatures.select("doc_id", "mark", "n_shingles", "digest").join(of_class, "digest", "left").select(
+        "doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.mark") == F.col("mark")))).alias("kept")
+    )
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("mark")

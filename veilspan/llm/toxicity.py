@@ -158,18 +158,16 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOC
 
 
 def score_toxicity(documents: DataFrame, machine: FactorizationMachine, output: str = "score") -> DataFrame:
-    """documents with a score from 0 to 1, higher for texts that are likelier toxic. A null or empty text has the score of no terms; a column named like output is replaced; repeated rows stay."""
+    """documents with a score from 0 to 1, higher for texts that are likelier toxic. A null or empty text has the score of no terms; a column named like output is replaced; repeated rows stay. Only texts leave the JVM."""
     model = documents.sparkSession.sparkContext.broadcast(machine)
-    fields = [f for f in documents.schema.fields if f.name != output]
 
-    def run(batches):
-        for b in slices(batches):
-            scores = model.value.scores(*term_slots(text_array(b.column("text"))))
-            yield pa.RecordBatch.from_arrays([*(b.column(f) for f in names), pa.array(scores)], names=[*names, output])
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        parts = [model.value.scores(*term_slots(text_array(b.column("text")))) for b in slices([pa.RecordBatch.from_arrays([texts], names=["text"])])]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    names = [f.name for f in fields]
-    schema = type(documents.schema)(fields).add(output, "double")
-    return documents.select(*names).mapInArrow(run, schema)
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in documents.columns if c != output]
+    return documents.select(*kept, scores(F.col("text")).alias(output))
 
 
 HELD_OUT = "crc32(encode(CAST(doc_id AS STRING), 'UTF-8')) % 4 = 2"
