@@ -1,12 +1,15 @@
 """The corpus pipeline: toxic documents go, then repeated lines, near copies and contaminated documents; the rest is packed.
 
 Each stage takes (spark, docs, sf_dir), docs with at least doc_id and text, and works on all rows. All but the last return the columns
-of docs; n_chars, where there is one, follows the text. Rows with a null doc_id go in the second stage; an empty table passes through.
+of docs as they are, of whatever type; n_chars, where there is one, follows the text. Several texts under one doc_id are documents each,
+except that decontamination drops all of them if one has a benchmark passage; rows that repeat a doc_id and text are one document from
+the second stage on, and the near-copy stage returns one of them. Rows with a null doc_id are judged for toxicity, pass the middle
+stages as they are and are packed. An empty table passes through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import stored, table
@@ -17,37 +20,50 @@ from veilspan.llm.packing import pack_documents, tokenizer_file
 from veilspan.llm.toxicity import HELD_OUT, THRESHOLD, score_toxicity, train_toxicity
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold; the machine is fitted on labels of docs outside the held-out quarter."""
     machine = train_toxicity(docs, table(spark, sf_dir, "labels").where(f"NOT ({HELD_OUT})"))
-    score = "toxicity_score"
-    while score in docs.columns:
-        score += "_"
+    score = _free("toxicity_score", docs)
     return score_toxicity(docs, machine, score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are similar to an earlier one; a document goes if that takes all its words."""
-    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    rest = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in others])) if others else F.lit("{}")
-    lines = remove_similar_lines(docs.select("doc_id", "text", rest.alias("extra")), extra="extra").where("n_removed = 0 OR kept RLIKE '[^ \\\\t-\\\\r]'")
-    fields = F.from_json("extra", type(docs.schema)(others)) if others else None
-    value = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{f.name: fields[f.name] for f in others}}
-    if "n_chars" in value:
-        value["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
-    return lines.select(*[value[c].alias(c) for c in docs.columns])
+    """Documents without lines that are similar to an earlier one; a document goes if that takes all its words. The other columns of a document meet its lines by doc_id and a hash of the text."""
+    mark, kept, shorter = (_free(c, docs) for c in ("text_mark", "kept_text", "shorter"))
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    lines = remove_similar_lines(docs.select("doc_id", "text", hashed.cast("string").alias("mark")), extra="mark").where("n_removed = 0 OR kept RLIKE '[^ \\\\t-\\\\r]'")
+    lines = lines.select("doc_id", F.col("extra").cast("bigint").alias(mark), F.when(F.col("n_removed") > 0, F.col("kept")).alias(kept), (F.col("n_removed") > 0).alias(shorter)).dropDuplicates(["doc_id", mark])
+    both = docs.where("doc_id IS NOT NULL").withColumn(mark, hashed).join(lines, ["doc_id", mark])
+    value = {"text": F.when(F.col(shorter), F.col(kept)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(F.col(shorter), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    judged = both.select(*[value.get(c, _column(c)).alias(c) for c in docs.columns])
+    return judged.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The first document of each group of near copies, by doc_id, then by a hash of the text."""
+    mark = _free("text_mark", docs)
+    kept = near_duplicates(docs).where("kept").select("doc_id", F.col("mark").alias(mark))
+    marked = docs.where("doc_id IS NOT NULL").withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return marked.join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).drop(mark).select(*map(_column, docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*map(_column, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
