@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,22 +13,45 @@ from .segments import SHORT_BYTES, segment_bytes, segment_spans
 from .spans import SPAN_TYPE, Span, admitted, normalized, tightened
 
 #: A provider maps the bytes of one segment to spans within it. It must be picklable; models load lazily in the worker.
+#: One that has a method many(segments) is given the segments of several texts at once.
 Provider = Callable[[bytes], Sequence[Span]]
+#: Bytes of text whose segments go to a provider together.
+TOGETHER = 1 << 16
 
 
-def provided_spans(b: bytes, provider: Provider | None) -> list[Span]:
-    """The provider's spans of all segments, as offsets in the text."""
+def provided_spans(texts: Sequence[bytes], provider: Provider | None) -> Iterator[list[Span]]:
+    """For each text the provider's spans of all its segments, as offsets in the text."""
     if provider is None:
-        return []
-    out = []
-    for span in segment_spans(b):
-        out += [(start + span[0], min(end + span[0], len(b)), label) for start, end, label in provider(segment_bytes(b, span))]
-    return out
+        yield from ([] for _ in texts)
+        return
+    many = getattr(provider, "many", None) or (lambda segments: [provider(x) for x in segments])
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= TOGETHER):
+            size += len(texts[to])
+            to += 1
+        ranges = [(i, span) for i in range(at, to) for span in segment_spans(texts[i])]
+        out: list[list[Span]] = [[] for _ in range(at, to)]
+        for (i, (first, _)), found in zip(ranges, many([segment_bytes(texts[i], span) for i, span in ranges]), strict=True):
+            out[i - at] += [(start + first, min(end + first, len(texts[i])), label) for start, end, label in found]
+        yield from out
+        at = to
+
+
+def detect_many(texts: Sequence[bytes], provider: Provider | None = None, use_rules: bool = True) -> Iterator[list[Span]]:
+    """detect_bytes() of each text."""
+    for b, spans in zip(texts, provided_spans(texts, provider), strict=True):
+        yield merged(b, spans, use_rules)
 
 
 def detect_bytes(b: bytes, provider: Provider | None = None, use_rules: bool = True) -> list[Span]:
     """Sorted, disjoint spans of a text. Texts under SHORT_BYTES have space trimmed from rule spans too."""
-    spans = provided_spans(b, provider)
+    return next(detect_many([b], provider, use_rules))
+
+
+def merged(b: bytes, spans: list[Span], use_rules: bool) -> list[Span]:
+    """A provider's spans of a text and those of the rules."""
     if use_rules:
         spans = tightened(b, admitted(candidates(b), spans))
     return normalized(spans, b if len(b) < SHORT_BYTES else None)
@@ -43,17 +66,14 @@ def spans_udf(provider: Provider | None = None, use_rules: bool = True) -> Calla
 
     @F.pandas_udf(SPAN_TYPE)
     def spans(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            b = text_bytes(text) if text else b""
-            out.append(span_rows(b, detect_bytes(b, provider, use_rules)) if b else [])
-        return pd.Series(out)
+        data = [text_bytes(text) if text else b"" for text in texts]
+        return pd.Series([span_rows(b, found) for b, found in zip(data, detect_many(data, provider, use_rules), strict=True)])
 
     return spans
 
 
 def detect(df: DataFrame, text: str = "text", provider: Provider | None = None, use_rules: bool = True, output: str = "spans") -> DataFrame:
-    """df with an array of (label, start, end, text), offsets in UTF-8 bytes, end exclusive. A null or empty text has none; text after a NUL is not looked at."""
+    """df with an array of (label, start, end, text), offsets in UTF-8 bytes, end exclusive. A null or empty text has none."""
     return df.withColumn(output, spans_udf(provider, use_rules)(F.col(text)))
 
 

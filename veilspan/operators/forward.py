@@ -37,7 +37,7 @@ def top_k(x: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-x, axis=-1, kind="stable")[..., :k]
 
 
-def rope_tables(n: int, c: ModelConfig) -> tuple[np.ndarray, np.ndarray]:
+def rope_tables(n: int, c: ModelConfig, dtype=np.float32) -> tuple[np.ndarray, np.ndarray]:
     """Cosines and sines (n, head_dim / 2), with frequencies stretched between two bounds of their rotations and a concentration factor."""
     half = c.head_dim // 2
     i = np.arange(half)
@@ -48,32 +48,43 @@ def rope_tables(n: int, c: ModelConfig) -> tuple[np.ndarray, np.ndarray]:
     frequency = frequency / c.rope_factor * ramp + frequency * (1 - ramp)
     angle = np.arange(n)[:, None] * frequency
     strength = 0.1 * np.log(c.rope_factor) + 1
-    return (np.cos(angle) * strength).astype(np.float32), (np.sin(angle) * strength).astype(np.float32)
+    return (np.cos(angle) * strength).astype(dtype), (np.sin(angle) * strength).astype(dtype)
 
 
 def rotate(x: np.ndarray, cos: np.ndarray, sin: np.ndarray) -> np.ndarray:
     """x (n, heads, head_dim), neighbouring numbers as pairs."""
     a, b = x[..., 0::2], x[..., 1::2]
-    cos, sin = cos[:, None], sin[:, None]
+    cos, sin = cos[:, None], sin[:, None]  # the same for all heads
     out = np.empty_like(x)
     out[..., 0::2], out[..., 1::2] = a * cos - b * sin, b * cos + a * sin
     return out
 
 
-def band_attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, sinks: np.ndarray, window: int) -> np.ndarray:
-    """q (n, query heads, d), k and v (n, kv heads, d): attention to tokens at most window away; a head's sink joins the denominator alone."""
-    n, heads, _ = q.shape
+#: Tokens whose scores are laid out at a time, at least.
+ATTENTION_ROWS = 32
+
+
+def band_attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, sinks: np.ndarray, window: int, segment: np.ndarray | None = None) -> np.ndarray:
+    """q (n, query heads, d), k and v (n, kv heads, d): attention to tokens at most window away and, if segments are given, of the same one; a head's sink joins the denominator alone."""
+    n, heads, d = q.shape
     group = heads // k.shape[1]
     out = np.empty_like(q)
-    for at in range(0, n, 2 * window):
-        rows = slice(at, min(n, at + 2 * window))
+    step = max(2 * window, ATTENTION_ROWS)
+    keys, values = k.transpose(1, 2, 0), v.transpose(1, 0, 2)  # (kv heads, d, n), (kv heads, n, d)
+    for at in range(0, n, step):
+        rows = slice(at, min(n, at + step))
         cols = slice(max(0, rows.start - window), min(n, rows.stop + window))
         far = np.abs(np.arange(rows.start, rows.stop)[:, None] - np.arange(cols.start, cols.stop)[None]) > window
-        for h in range(heads):
-            scores = np.where(far, -np.inf, q[rows, h] @ k[cols, h // group].T)
-            top = np.maximum(scores.max(axis=1, keepdims=True), sinks[h])
-            e = np.exp(scores - top)
-            out[rows, h] = e @ v[cols, h // group] / (e.sum(axis=1, keepdims=True) + np.exp(sinks[h] - top))
+        if segment is not None:
+            far |= segment[rows, None] != segment[None, cols]
+        own = q[rows].transpose(1, 0, 2).reshape(k.shape[1], group * (rows.stop - rows.start), d)  # heads that share keys stand together
+        scores = (own @ keys[:, :, cols]).reshape(heads, rows.stop - rows.start, -1)
+        scores[:, far] = -np.inf
+        sink = sinks[:, None, None]
+        top = np.maximum(scores.max(axis=2, keepdims=True), sink)
+        e = np.exp(scores - top)
+        mixed = (e.reshape(k.shape[1], -1, e.shape[2]) @ values[:, cols]).reshape(heads, -1, d)
+        out[rows] = (mixed / (e.sum(axis=2, keepdims=True) + np.exp(sink - top))).transpose(1, 0, 2)
     return out
 
 
@@ -82,11 +93,22 @@ def swiglu(gate: np.ndarray, up: np.ndarray, c: ModelConfig) -> np.ndarray:
     return (up + 1) * gate * sigmoid(c.swiglu_alpha * gate)
 
 
-def experts(x: np.ndarray, w: Weights, prefix: str, c: ModelConfig) -> np.ndarray:
-    """Each token's top experts, weighted by the softmax of their logits; tokens are grouped by expert so that each product is dense."""
+def _rows(w: Weights, name: str, index) -> np.ndarray:
+    """Part of a tensor along its first axis; a mapped file decodes no more than that."""
+    part = getattr(w, "rows", None)
+    return part(name, index) if part else w[name][index]
+
+
+def routed(x: np.ndarray, w: Weights, prefix: str, c: ModelConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's top experts, and their weights: the softmax of their logits."""
     logits = linear(x, w[f"{prefix}.router.weight"], w.get(f"{prefix}.router.bias"))
     chosen = top_k(logits, c.top_k)
-    weights = softmax(np.take_along_axis(logits, chosen, axis=1))
+    return chosen, softmax(np.take_along_axis(logits, chosen, axis=1))
+
+
+def experts(x: np.ndarray, w: Weights, prefix: str, c: ModelConfig) -> np.ndarray:
+    """The weighted sum of each token's top experts; tokens are grouped by expert so that each product is dense and each expert is read once."""
+    chosen, weights = routed(x, w, prefix, c)
     flat = chosen.ravel()
     order = np.argsort(flat, kind="stable")
     ends = np.searchsorted(flat[order], np.arange(c.experts + 1))
@@ -94,34 +116,46 @@ def experts(x: np.ndarray, w: Weights, prefix: str, c: ModelConfig) -> np.ndarra
     for e in np.unique(flat):
         pairs = order[ends[e] : ends[e + 1]]
         token = pairs // c.top_k
-        both = x[token] @ w[f"{prefix}.experts.gate_up_proj"][e] + w[f"{prefix}.experts.gate_up_proj_bias"][e]
+        part = lambda name: _rows(w, f"{prefix}.experts.{name}", int(e))  # noqa: E731, B023
+        both = x[token] @ part("gate_up_proj") + part("gate_up_proj_bias")
         half = both.shape[1] // 2
-        done = swiglu(both[:, :half], both[:, half:], c) @ w[f"{prefix}.experts.down_proj"][e] + w[f"{prefix}.experts.down_proj_bias"][e]
-        np.add.at(out, token, done * weights.ravel()[pairs, None])
+        out[token] += (swiglu(both[:, :half], both[:, half:], c) @ part("down_proj") + part("down_proj_bias")) * weights.ravel()[pairs, None]
     return out
 
 
-def attention(x: np.ndarray, w: Weights, prefix: str, c: ModelConfig, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def attention(x: np.ndarray, w: Weights, prefix: str, c: ModelConfig, tables: tuple[np.ndarray, np.ndarray], segment: np.ndarray | None = None) -> np.ndarray:
     n = len(x)
     project = lambda name, heads: linear(x, w[f"{prefix}.{name}_proj.weight"], w.get(f"{prefix}.{name}_proj.bias")).reshape(n, heads, c.head_dim)
     scale = np.float32(c.head_dim**-0.25)
     q = rotate(project("q", c.query_heads), *tables) * scale
     k = rotate(project("k", c.kv_heads), *tables) * scale
-    mixed = band_attention(q, k, project("v", c.kv_heads), w[f"{prefix}.sinks"], c.window)
+    mixed = band_attention(q, k, project("v", c.kv_heads), w[f"{prefix}.sinks"], c.window, segment)
     return linear(mixed.reshape(n, -1), w[f"{prefix}.o_proj.weight"], w.get(f"{prefix}.o_proj.bias"))
 
 
 def forward(ids: np.ndarray, w: Weights, c: ModelConfig) -> np.ndarray:
-    """Tag scores (tokens, labels) of token ids; ids out of range count as padding."""
-    ids = np.asarray(ids)
-    ids = np.where((ids < 0) | (ids >= len(w["model.embed_tokens.weight"])), c.pad_id, ids)
-    x = np.asarray(w["model.embed_tokens.weight"][ids], dtype=np.float32)
-    tables = rope_tables(len(ids), c)
+    """Tag scores (tokens, labels) of the token ids of one segment; ids out of range count as padding."""
+    return forward_many([ids], w, c)[0]
+
+
+def forward_many(segments: list[np.ndarray], w: Weights, c: ModelConfig) -> list[np.ndarray]:
+    """forward() of each segment; all tokens pass a layer together, so its tensors are read once for all."""
+    lengths = np.array([len(s) for s in segments], dtype=np.int64)
+    if not lengths.sum():
+        return [np.zeros((0, c.labels), dtype=np.float32) for _ in segments]
+    ids = np.concatenate([np.asarray(s, dtype=np.int64) for s in segments])
+    size = w.shape("model.embed_tokens.weight")[0] if hasattr(w, "rows") else len(w["model.embed_tokens.weight"])
+    used, place = np.unique(np.where((ids < 0) | (ids >= size), c.pad_id, ids), return_inverse=True)
+    x = np.asarray(_rows(w, "model.embed_tokens.weight", used), dtype=np.float32)[place]
+    segment = np.repeat(np.arange(len(segments)), lengths)
+    position = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    tables = tuple(t[position] for t in rope_tables(int(lengths.max()), c))
     for layer in range(c.layers):
         p = f"model.layers.{layer}"
-        x = x + attention(rms_norm(x, w[f"{p}.input_layernorm.weight"], c.eps), w, f"{p}.self_attn", c, tables)
+        x = x + attention(rms_norm(x, w[f"{p}.input_layernorm.weight"], c.eps), w, f"{p}.self_attn", c, tables, segment if len(segments) > 1 else None)
         x = x + experts(rms_norm(x, w[f"{p}.post_attention_layernorm.weight"], c.eps), w, f"{p}.mlp", c)
-    return linear(rms_norm(x, w["model.norm.weight"], c.eps), w["score.weight"], w.get("score.bias"))
+    scores = linear(rms_norm(x, w["model.norm.weight"], c.eps), w["score.weight"], w.get("score.bias"))
+    return np.split(scores, np.cumsum(lengths)[:-1])
 
 
 def random_weights(c: ModelConfig, seed: int = 0) -> dict[str, np.ndarray]:

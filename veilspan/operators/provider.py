@@ -9,7 +9,7 @@ import numpy as np
 
 from ..config import Calibration, ModelConfig
 from ..sources.safetensors import TensorFile
-from .forward import forward
+from .forward import forward_many
 from .spans import Span, trimmed
 from .tokenizer import Tokenizer
 from .viterbi import tag_spans, viterbi
@@ -43,13 +43,15 @@ class ModelProvider:
     def __init__(self, weights_path: str, tokenizer: Tokenizer, config: ModelConfig = ModelConfig(), calibration: Calibration = Calibration()):
         self.weights_path, self.tokenizer, self.config, self.calibration = weights_path, tokenizer, config, calibration
 
-    def scores(self, ids: Sequence[int]) -> np.ndarray:
-        return forward(np.array(ids), _weights(self.weights_path), self.config)
+    def many(self, segments: Sequence[bytes]) -> list[Sequence[Span]]:
+        """Spans of each segment. All pass the model together."""
+        tokens = [self.tokenizer(b) for b in segments]
+        scores = forward_many([np.array([t[0] for t in x], dtype=np.int64) for x in tokens], _weights(self.weights_path), self.config)
+        out = []
+        for b, x, s in zip(segments, tokens, scores, strict=True):
+            spans = (trimmed(b, span) for span in tag_spans(x, viterbi(s, self.calibration)))
+            out.append([span for span in spans if span[1] > span[0]])
+        return out
 
     def __call__(self, b: bytes) -> Sequence[Span]:
-        tokens = self.tokenizer(b)
-        if not tokens:
-            return []
-        tags = viterbi(self.scores([t[0] for t in tokens]), self.calibration)
-        spans = (trimmed(b, s) for s in tag_spans(tokens, tags))
-        return [s for s in spans if s[1] > s[0]]
+        return self.many([b])[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import OTHER_PREFIX, PREFIXES
-from .detect import Provider, detect_bytes
+from .detect import Provider, detect_many
 from .scanner import text_bytes
 from .spans import Span
 
@@ -34,7 +34,10 @@ def redact_bytes(b: bytes, spans: Sequence[Span]) -> bytes:
 
 
 def mask_bytes(b: bytes, spans: Sequence[Span]) -> tuple[bytes, list[tuple[str, str, str]]]:
-    """Masked text and an entity (uid, label, text) per span: spans of equal label and bytes share a uid, numbered by first appearance within their type."""
+    """Masked text and an entity (uid, label, text) per span: spans of equal label and bytes share a uid, numbered by first appearance within their type.
+
+    Numbers whose placeholder the text itself has are passed over, so unmasking gives the text back whatever it holds.
+    """
     uids: dict[tuple[str, bytes], str] = {}
     counts: dict[str, int] = {}
     entities, pieces = [], []
@@ -42,9 +45,11 @@ def mask_bytes(b: bytes, spans: Sequence[Span]) -> tuple[bytes, list[tuple[str,
         key = label, b[start:end]
         if key not in uids:
             prefix = PREFIXES.get(label)
-            if prefix:
-                counts[prefix] = counts.get(prefix, 0) + 1
-            uids[key] = f"{prefix}_{counts[prefix]}" if prefix else f"{OTHER_PREFIX}_{i + 1}"
+            kind = prefix or OTHER_PREFIX
+            counts[kind] = counts.get(kind, 0) + 1 if prefix else max(i + 1, counts.get(kind, 0) + 1)
+            while f"<{kind}_{counts[kind]}>".encode() in b:
+                counts[kind] += 1
+            uids[key] = f"{kind}_{counts[kind]}"
         entities.append((uids[key], label, key[1].decode("utf-8", "replace")))
         pieces.append(f"<{uids[key]}>".encode())
     return spliced(b, spans, pieces), entities
@@ -62,7 +67,9 @@ def redact(df: DataFrame, text: str = "text", provider: Provider | None = None,
 
     @F.pandas_udf("string")
     def redacted(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact_bytes(b := text_bytes(t), detect_bytes(b, provider)).decode("utf-8", "replace") for t in texts], dtype=object)
+        data = [text_bytes(t or "") for t in texts]
+        done = (redact_bytes(b, found).decode("utf-8", "replace") for b, found in zip(data, detect_many(data, provider), strict=True))
+        return pd.Series([None if t is None else x for t, x in zip(texts, done, strict=True)], dtype=object)
 
     return df.withColumn(output, redacted(F.col(text)))
 
@@ -73,9 +80,9 @@ def mask(df: DataFrame, text: str = "text", provider: Provider | None = None, ou
     @F.pandas_udf(MASKED_TYPE)
     def masked(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in texts:
-            b = text_bytes(t or "")
-            done, entities = mask_bytes(b, detect_bytes(b, provider))
+        data = [text_bytes(t or "") for t in texts]
+        for b, found in zip(data, detect_many(data, provider), strict=True):
+            done, entities = mask_bytes(b, found)
             rows.append((done.decode("utf-8", "replace"), [{"uid": u, "label": lab, "text": x} for u, lab, x in entities]))
         return pd.DataFrame(rows, columns=["masked_text", "entities"])
 

@@ -31,8 +31,8 @@ class Candidate(NamedTuple):
 
 
 def text_bytes(text: str) -> bytes:
-    """UTF-8 of a text up to its first NUL."""
-    return text.partition("\0")[0].encode()
+    """UTF-8 of a text, all of it: what stands behind a NUL is scanned like the rest."""
+    return text.encode()
 
 
 def _digits_of(data: bytes) -> int:
@@ -133,46 +133,52 @@ def _matches(pattern):
 
 
 _AT_DIGIT = [
-    (_ipv4, "secret"),
-    (_euro_date, "private_date"),
-    (_matches(P.SSN), "account_number"),
-    (_matches(P.NATIONAL_ID), "account_number"),
-    (_card, "account_number"),
-    (_matches(P.EIN), "account_number"),
-    (_address, "private_address"),
+    ("ip", _ipv4, "secret"),
+    ("euro_date", _euro_date, "private_date"),
+    ("ssn", _matches(P.SSN), "account_number"),
+    ("cn_id", _matches(P.NATIONAL_ID), "account_number"),
+    ("card", _card, "account_number"),
+    ("ein", _matches(P.EIN), "account_number"),
+    ("address", _address, "private_address"),
 ]
 _paren_phone = _matches(P.PAREN_PHONE)
 
 
 def match_at(b: bytes, i: int) -> tuple[int, str] | None:
     """End and label of the first rule that fits at a byte, e-mail aside."""
+    hit = rule_at(b, i)
+    return hit and hit[1:]
+
+
+def rule_at(b: bytes, i: int) -> tuple[str, int, str] | None:
+    """Name, end and label of that rule."""
     c = b[i]
     left = not (i and b[i - 1] in _ALNUM)
     if c == 43 or c == 40:
         end = left and (_intl_phone if c == 43 else _paren_phone)(b, i)
-        return (end, "private_phone") if end else None
+        return ("intl_phone" if c == 43 else "paren_phone", end, "private_phone") if end else None
     if c not in _HOST:
         return None
     if left and c in _KEY_STARTS and (end := _key(b, i)):
-        return end, "secret"
+        return "api_key", end, "secret"
     if left and c in _UPPER and (end := _long_date(b, i)):
-        return end, "private_date"
+        return "long_date", end, "private_date"
     if c in _DIGITS:
         if not (i and b[i - 1] in _DIGITS) and (end := _cjk_date(b, i)):
-            return end, "private_date"
+            return "cjk_date", end, "private_date"
         if left:
-            for rule, label in _AT_DIGIT:
+            for name, rule, label in _AT_DIGIT:
                 if end := rule(b, i):
-                    return end, label
+                    return name, end, label
     m = P.SCHEME.match(b, i)
     if m and (body := m[2].rstrip(b".,);")):
-        return m.start(2) + len(body), _SCHEME_LABELS[m[1]]
+        return "scheme_url", m.start(2) + len(body), _SCHEME_LABELS[m[1]]
     if left and c in _UPPER:
-        for rule in (_iban, _upper_code):
+        for name, rule in (("iban", _iban), ("upper_code", _upper_code)):
             if end := rule(b, i):
-                return end, "account_number"
+                return name, end, "account_number"
     if not (i and b[i - 1] in _HOST) and i + 4 < len(b) and (end := _bare_domain(b, i)):
-        return end, "private_url"
+        return "bare_domain", end, "private_url"
     return None
 
 

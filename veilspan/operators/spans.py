@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -17,16 +18,39 @@ SPAN_TYPE = "array<struct<label:string,start:int,end:int,text:string>>"
 def admitted(found: Sequence[Candidate], existing: Sequence[Span] = ()) -> list[Span]:
     """existing spans and, in order, the candidates that don't overlap one (or, for those that say so, don't lie within one)."""
     out = list(existing)
+    known, added = _Taken(), _Taken()
+    for start, end, _ in sorted(existing, key=lambda s: s[0]):
+        known.add(start, end)
     for c in found:
-        if c.within:
-            taken = any(s <= c.start and e >= c.end for s, e, _ in out)
-        else:
-            taken = any(s < c.end and e > c.start for s, e, _ in out)
-        if not taken:
+        before, reach = (c.start + 1, c.end) if c.within else (c.end, c.start + 1)
+        if max(known.furthest(before), added.furthest(before)) < reach:
             out.append((c.start, c.end, c.label))
+            added.add(c.start, c.end)
     return out
 
 
+class _Taken:
+    """Spans by start, with the furthest end up to each; quick to add to near the end."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.tops: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_right(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        del self.tops[at:]
+        for e in self.ends[at:]:
+            self.tops.append(max(e, self.tops[-1]) if self.tops else e)
+
+    def furthest(self, before: int) -> int:
+        """The furthest end of the spans that start before a place."""
+        at = bisect_left(self.starts, before)
+        return self.tops[at - 1] if at else -1
+
+
 def tightened(b: bytes, spans: Sequence[Span]) -> list[Span]:
     """E-mail spans cut down to the address around their first `@`; one at offset 0 or without a local part stays as it is."""
     out = []

@@ -33,11 +33,15 @@ class Tokenizer:
             if not 0 < len(token) <= LONGEST_TOKEN or i < 0 or (size is not None and i >= size):
                 raise ValueError(f"token {token!r} with id {i} is out of bounds")
         self.vocabulary, self.specials = vocabulary, list(specials)
-        self.lengths = sorted({len(t) for t in vocabulary}, reverse=True)
+        lengths: dict[bytes, set[int]] = {}
+        for token in vocabulary:
+            lengths.setdefault(token[:2], set()).add(len(token))
+        #: By the first two bytes, the lengths of tokens that begin so, longest first.
+        self.lengths = {start: tuple(sorted(found, reverse=True)) for start, found in lengths.items() if len(start) == 2}
 
     def __call__(self, b: bytes) -> list[tuple[int, int, int]]:
         """(id, start, end) that cover the bytes; a byte that no token begins with is an error."""
-        out, at, known, lengths = [], 0, self.vocabulary.get, self.lengths
+        out, at, known, lengths = [], 0, self.vocabulary.get, self.lengths.get
         while at < len(b):
             end, found = at, None
             for token, i in self.specials:
@@ -45,11 +49,13 @@ class Tokenizer:
                     end, found = at + len(token), i
                     break
             else:
-                for n in lengths:
+                for n in lengths(b[at : at + 2], ()):
                     found = known(b[at : at + n])
                     if found is not None:
                         end = min(at + n, len(b))
                         break
+                if found is None:
+                    end, found = at + 1, known(b[at : at + 1])
             if found is None:
                 raise ValueError(f"no token begins at byte {at}")
             out.append((found, at, end))
@@ -60,19 +66,40 @@ class Tokenizer:
 def tokens_udf(tokenizer: Tokenizer) -> Callable[[Column | str], Column]:
     @F.arrow_udf(TOKEN_TYPE)
     def tokens(texts: pa.Array) -> pa.Array:
-        ends, found, pieces = [0], [], []
+        ends, found, pieces, failed = [0], [], [], []
         for t in texts.to_pylist():
             b = text_bytes(t or "")
-            own = tokenizer(b)
+            try:
+                own = tokenizer(b)
+                failed.append(False)
+            except ValueError:
+                own = []
+                failed.append(True)
             found += own
             pieces += [b[s:e].decode("utf-8", "replace") for _, s, e in own]
             ends.append(len(found))
         columns = [pa.array(x, pa.int32()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int32())] * 3
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([*columns, pa.array(pieces, pa.string())], names=["id", "start", "end", "text"]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([*columns, pa.array(pieces, pa.string())], names=["id", "start", "end", "text"]), mask=pa.array(failed))
 
     return tokens
 
 
 def tokens(df: DataFrame, tokenizer: Tokenizer, text: str = "text", output: str = "tokens") -> DataFrame:
-    """df with an array of (id, start, end, text) of the text's bytes; null has none."""
+    """df with an array of (id, start, end, text) of the text's bytes; null has none, and a text with a byte with which no token begins gets null."""
     return df.withColumn(output, tokens_udf(tokenizer)(F.col(text)))
+
+
+def token_ids(df: DataFrame, tokenizer: Tokenizer, text: str = "text", output: str = "tokens") -> DataFrame:
+    """df with an array of the ids alone; null for a text that has a byte with which no token begins."""
+
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append([x[0] for x in tokenizer(text_bytes(t or ""))])
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return df.withColumn(output, ids(F.col(text)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -35,6 +36,7 @@ def transition_bias(before: int, after: int, c: Calibration) -> float:
     return c.end_to_background if b == "O" else c.end_to_start
 
 
+@lru_cache(maxsize=16)
 def transition_scores(calibration: Calibration = Calibration(), n: int = N_TAGS) -> np.ndarray:
     return np.array([[transition_bias(a, b, calibration) if allowed(a, b) else FORBIDDEN for b in range(n)] for a in range(n)], dtype=np.float32)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections import OrderedDict
 from collections.abc import Iterator, Mapping
 from pathlib import Path
 from typing import NamedTuple
@@ -42,26 +43,52 @@ def tensor_entries(path: str | Path) -> list[TensorEntry]:
 
 
 def bf16_to_f32(raw: np.ndarray) -> np.ndarray:
-    return (raw.astype(np.uint32) << np.uint32(16)).view(np.float32)
+    out = np.zeros((*raw.shape, 2), dtype="<u2")
+    out[..., 1] = raw  # the upper half of each number
+    return out.view("<f4")[..., 0]
 
 
 class TensorFile(Mapping):
-    """Tensors by name, mapped from the file and decoded when asked for; an embedding row costs no more than itself."""
+    """Tensors by name, mapped from the file and decoded when asked for; rows cost no more than themselves. What was decoded last stays, up to `kept` bytes."""
 
-    def __init__(self, path: str | Path):
-        self.path = str(path)
+    def __init__(self, path: str | Path, kept: int = 512 << 20):
+        self.path, self.kept = str(path), kept
         self.entries = {e.name: e for e in tensor_entries(path)}
+        self.mappings: dict[str, np.ndarray] = {}
+        self.decoded: OrderedDict[tuple[str, int | None], np.ndarray] = OrderedDict()
+        self.held = 0
 
-    def mapped(self, name: str) -> np.ndarray:
-        e = self.entries[name]
-        return np.memmap(self.path, dtype="<u2" if e.dtype == "BF16" else "<f4", mode="r", offset=e.offset, shape=tuple(e.shape))
+    def shape(self, name: str) -> list[int]:
+        return self.entries[name].shape
 
-    def rows(self, name: str, index: np.ndarray) -> np.ndarray:
+    def mapped(self, name: str) -> np.ndarray:
+        if name not in self.mappings:
+            e = self.entries[name]
+            self.mappings[name] = np.memmap(self.path, dtype="<u2" if e.dtype == "BF16" else "<f4", mode="r", offset=e.offset, shape=tuple(e.shape)).view(np.ndarray)
+        return self.mappings[name]
+
+    def rows(self, name: str, index) -> np.ndarray:
+        """Part of a tensor along its first axis; that of a single number is kept."""
+        if isinstance(index, int):
+            return self._kept(name, index)
         raw = self.mapped(name)[index]
         return bf16_to_f32(raw) if raw.dtype == np.uint16 else np.asarray(raw)
 
+    def _kept(self, name: str, index: int | None) -> np.ndarray:
+        key = name, index
+        if key in self.decoded:
+            self.decoded.move_to_end(key)
+            return self.decoded[key]
+        raw = self.mapped(name) if index is None else self.mapped(name)[index]
+        out = bf16_to_f32(raw) if raw.dtype == np.uint16 else raw
+        self.decoded[key] = out
+        self.held += out.nbytes
+        while self.held > self.kept and len(self.decoded) > 1:
+            self.held -= self.decoded.popitem(last=False)[1].nbytes
+        return out
+
     def __getitem__(self, name: str) -> np.ndarray:
-        return self.rows(name, slice(None))
+        return self._kept(name, None)
 
     def __iter__(self) -> Iterator[str]:
         return iter(self.entries)
