@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import iou
+from .detect import Provider, detect_bytes, span_rows
+from .scanner import text_bytes
+from .spans import SPAN_TYPE, iou
 
 LEAST_IOU = 0.5
 
@@ -13,16 +18,15 @@ LEAST_IOU = 0.5
 def match_spans(truth: DataFrame, predicted: DataFrame, threshold: float = LEAST_IOU) -> DataFrame:
     """(doc_id, truth_no, predicted_no) pairs of spans (doc_id, span_no, label, start, end) of equal label and an IoU of the threshold or more.
 
-    Each true span takes the first predicted one, and each predicted one goes to the first true span; with disjoint spans on each side and
-    a threshold of 0.5 or more that is what taking them one by one gives.
+    True spans are taken in order, and each takes the first predicted one that fits and that none before it has taken.
     """
     t = truth.select("doc_id", "label", F.col("span_no").alias("truth_no"), F.col("start").alias("ts"), F.col("end").alias("te"))
     p = predicted.select("doc_id", "label", F.col("span_no").alias("predicted_no"), F.col("start").alias("ps"), F.col("end").alias("pe"))
     near = t.join(p, ["doc_id", "label"]).where(iou(F.col("ts"), F.col("te"), F.col("ps"), F.col("pe")) >= threshold)
-    first_p = Window.partitionBy("doc_id", "truth_no").orderBy("predicted_no")
-    first_t = Window.partitionBy("doc_id", "predicted_no").orderBy("truth_no")
-    near = near.withColumn("p", F.row_number().over(first_p)).where("p = 1").withColumn("t", F.row_number().over(first_t)).where("t = 1")
-    return near.select("doc_id", "truth_no", "predicted_no")
+    pairs = near.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("truth_no", "predicted_no"))).alias("pairs"))  # those of a document
+    free = lambda taken, x: ~F.exists(taken, lambda y: (y["truth_no"] == x["truth_no"]) | (y["predicted_no"] == x["predicted_no"]))
+    taken = F.aggregate("pairs", F.slice("pairs", 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return pairs.select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.truth_no", "x.predicted_no")
 
 
 def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -52,3 +56,46 @@ def compare(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:
     a, b = first.select(*by, F.col("f1").alias("first_f1")), second.select(*by, F.col("f1").alias("second_f1"))
     both = a.join(b, by, "full_outer").select(*by, F.coalesce("first_f1", F.lit(0.0)).alias("first_f1"), F.coalesce("second_f1", F.lit(0.0)).alias("second_f1"))
     return both.withColumn("gain", F.col("second_f1") - F.col("first_f1"))
+
+
+PREDICTION = f"spans {SPAN_TYPE}, error string, ms double"
+
+
+def predict(samples: DataFrame, provider: Provider | None = None, use_rules: bool = True) -> DataFrame:
+    """samples (text and other columns) without the text, with the spans of each, or the error that it ended in, and the milliseconds that it took. A null text has no spans."""
+
+    @F.pandas_udf(f"struct<{PREDICTION.replace('spans ', 'spans:', 1).replace('error ', 'error:').replace('ms ', 'ms:')}>")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            began, b, spans, error = time.perf_counter(), text_bytes(text or ""), [], None
+            try:
+                spans = span_rows(b, detect_bytes(b, provider, use_rules))
+            except Exception as e:  # one document's failure is its own
+                error = f"{type(e).__name__}: {e}"
+            rows.append((spans, error, (time.perf_counter() - began) * 1000))
+        return pd.DataFrame(rows, columns=["spans", "error", "ms"])
+
+    kept = [c for c in samples.columns if c not in ("text", "spans", "error", "ms")]
+    return samples.select(*kept, predicted("text").alias("x")).select(*kept, "x.*")
+
+
+def report(samples: DataFrame, predictions: DataFrame, threshold: float = LEAST_IOU) -> DataFrame:
+    """Rows (scope, name, tp, fp, fn, precision, recall, f1) overall, by label and by language of samples (doc_id, lang, spans) against predictions (doc_id, lang, spans, error, ms).
+
+    A document that failed counts all its true spans as missed, whatever spans it has. The overall row also has the number of samples and
+    of errors and the mean and total time; the others have nulls there.
+    """
+    flat = lambda df: df.select("doc_id", "lang", F.posexplode("spans").alias("span_no", "s")).select("doc_id", "lang", "span_no", "s.label", "s.start", "s.end")
+    truth, found = flat(samples), flat(predictions.where("error IS NULL"))
+    times = predictions.agg(F.count("*").alias("samples"), F.count("error").alias("errors"), F.avg("ms").alias("avg_ms"), (F.sum("ms") / 1000).alias("total_s"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in times.dtypes]
+    rows = evaluate(truth, found, threshold=threshold).crossJoin(times).select(F.lit("overall").alias("scope"), F.lit("").alias("name"), "tp", "fp", "fn", "precision", "recall", "f1", *times.columns)  # one row each
+    for scope in ("label", "lang"):
+        rows = rows.unionByName(evaluate(truth, found, [scope], threshold).select(F.lit(scope).alias("scope"), F.col(scope).alias("name"), "tp", "fp", "fn", "precision", "recall", "f1", *none))
+    return rows
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A JSON object per row of a report, in one file."""
+    rows.coalesce(1).sortWithinPartitions("scope", "name").write.json(path)
