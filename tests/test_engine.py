@@ -15,9 +15,9 @@ from veilspan.operators import render as R
 from veilspan.operators import synth
 from veilspan.operators.provider import ModelProvider, phrase_provider
 from veilspan.operators.spans import normalize_column, normalized
-from veilspan.operators.tokenizer import Tokenizer, byte_alphabet, tokens
+from veilspan.operators.tokenizer import Tokenizer, byte_alphabet, token_ids, tokens
 from veilspan.operators.viterbi import allowed, boundary, tag_spans, transition_bias, viterbi
-from veilspan.plans.examples import EXPECTED
+from veilspan.plans.queries import CASES, placed
 from veilspan.sources import files
 from veilspan.sources.safetensors import SafetensorsSource, TensorFile, tensor_entries, write_tensors
 
@@ -25,15 +25,15 @@ SMALL = ModelConfig(hidden=12, intermediate=6, layers=2, query_heads=4, kv_heads
 
 
 def test_detect_redact_mask_unmask(spark):
-    texts = [e[0] for e in EXPECTED] + [None, "", "x" * 300 + " a@b.co"]
+    texts = [t for t, _ in CASES] + [None, "", "x" * 300 + " a@b.co"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     rows = {r.id: r for r in R.unmask(R.mask(R.redact(D.detect(df)))).collect()}
-    for i, label, value, start, end in [(i, e[1], e[2], e[3], e[4]) for i, e in enumerate(EXPECTED) if e[5]]:
-        assert (label, start, end, value) in [tuple(s) for s in rows[i].spans]
-        assert rows[i].redacted.count("<REDACTED>") == len(rows[i].spans) == len(rows[i].masked.entities)
+    for i, (text, spans) in enumerate(CASES):
+        assert [tuple(x) for x in rows[i].spans] == [(label, start, end, value) for _, label, value, start, end in placed(text, spans)]
+        assert rows[i].redacted.count("<REDACTED>") == len(spans) == len(rows[i].masked.entities)
     assert all(r.unmasked == (texts[i] or "") for i, r in rows.items())
-    assert rows[len(EXPECTED)].spans == [] and rows[len(EXPECTED)].redacted is None
-    assert D.explode_spans(D.detect(df)).where("label = 'private_email'").count() >= 8
+    assert rows[len(CASES)].spans == [] and rows[len(CASES)].redacted is None
+    assert D.explode_spans(D.detect(df)).where("label = 'private_email'").count() >= 3
     plan = D.detect(df, use_rules=False).where(F.size("spans") > 0)
     assert plan.count() == 0
 
@@ -222,6 +222,57 @@ def test_evaluate(spark):
     assert all(g.gain == 1.0 for g in gain)
 
 
+def test_matching_of_competing_spans(spark):
+    kind = "doc_id int, span_no int, label string, start int, end int"
+    truth = [(1, 0, "a", 0, 10), (1, 1, "a", 2, 12), (1, 2, "a", 4, 14)]
+    predicted = [(1, 0, "a", 1, 11), (1, 1, "a", 3, 13), (1, 2, "a", 30, 40)]
+    pairs = E.match_spans(spark.createDataFrame(truth, kind), spark.createDataFrame(predicted, kind)).collect()
+    assert sorted((p.truth_no, p.predicted_no) for p in pairs) == [(0, 0), (1, 1)]
+    row = E.evaluate(spark.createDataFrame(truth, kind), spark.createDataFrame(predicted, kind)).first()
+    assert (row.tp, row.fp, row.fn) == greedy(truth, predicted) == (2, 1, 1)
+
+
+def test_predictions_and_report(spark, tmp_path):
+    def breaks(b):
+        if b"break" in b:
+            raise RuntimeError("broken")
+        return []
+
+    span = lambda label, start, end: {"label": label, "start": start, "end": end, "text": ""}
+    rows = [(1, "mail a@b.co", [span("private_email", 5, 11)], "en"), (2, "break a@b.co", [span("private_email", 6, 12)], "de"), (3, None, [], "de")]
+    samples = spark.createDataFrame(rows, files.EVAL_SCHEMA.replace("text", "doc_id int, text", 1))
+    made = E.predict(samples, breaks)
+    got = {r.doc_id: r for r in made.collect()}
+    assert got[2].error == "RuntimeError: broken" and got[2].spans == [] and got[1].error is None and len(got[1].spans) == 1 and got[3].spans == [] and all(r.ms >= 0 for r in got.values())
+    E.write_report(E.report(samples, made), f"file://{tmp_path}/report")
+    lines = {(r.scope, r.name): r for r in spark.read.json(f"file://{tmp_path}/report").collect()}
+    total = lines["overall", ""]
+    assert (total.tp, total.fp, total.fn, total.samples, total.errors) == (1, 0, 1, 3, 1) and total.avg_ms >= 0 and total.total_s >= 0
+    assert lines["lang", "de"].recall == 0 and lines["lang", "en"].f1 == 1 and lines["label", "private_email"].recall == 0.5
+
+
+def test_model_reads_parts_of_files(tmp_path):
+    weights = M.random_weights(SMALL, 3)
+    write_tensors(tmp_path / "w", weights, bf16=True)
+    whole = TensorFile(tmp_path / "w")
+    decoded = {k: np.array(whole[k]) for k in whole}
+    assert all(np.abs(decoded[k] - weights[k]).max() < 0.02 for k in weights)
+    few = TensorFile(tmp_path / "w", kept=2000)
+    r = np.random.default_rng(1)
+    segments = [r.integers(-2, 310, n) for n in (5, 1, 40, 0, 17)]
+    segments = [np.where((x < 0) | (x >= 300), 299, x) for x in segments]
+    for got, ids in zip(M.forward_many(segments, few, SMALL), segments, strict=True):
+        assert len(ids) == 0 and got.shape == (0, SMALL.labels) or np.abs(got - naive_forward(ids, decoded, SMALL)).max() < 1e-3
+    assert few.held <= max(2000, max(x.nbytes for x in decoded.values())) and not any(k[0] == "model.embed_tokens.weight" for k in few.decoded)
+
+
+def test_texts_that_no_token_begins(spark):
+    tokenizer = Tokenizer({b"a": 1, b"ab": 2, b"abc": 3, b"c": 4})
+    df = spark.createDataFrame([(1, "abcab"), (2, "abx"), (3, None)], "id int, text string")
+    assert {r.id: r.tokens for r in token_ids(df, tokenizer).collect()} == {1: [3, 2], 2: None, 3: []}
+    assert {r.id: r.tokens and [t.text for t in r.tokens] for r in tokens(df, tokenizer).collect()} == {1: ["abc", "ab"], 2: None, 3: []}
+
+
 def test_generator_and_files(spark, tmp_path):
     samples = synth.generate(spark, 100)
     assert sorted(map(str, samples.collect())) == sorted(map(str, synth.generate(spark, 100).repartition(3).collect()))

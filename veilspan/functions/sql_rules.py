@@ -1,6 +1,6 @@
 """Single rules as regular expressions that Java and RE2 read alike, for plain SQL: group 1 is the value.
 
-They look at one rule at a time and use up the byte after a value, so a value right behind another one can be missed; the scan has neither limit.
+They are written apart from the scan, which they check, and use up the byte after a value: a value right behind another one of its rule is missed.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ def _any(words) -> str:
 SQL_RULES = {
     "ip": ("secret", rf"{_LEFT}({_OCTET}(?:\.{_OCTET}){{3}})(?:[^A-Za-z0-9.]|\z)"),
     "email": ("private_email", r"(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z0-9]{2,})"),
-    "intl_phone": ("private_phone", rf"(?:^|[^A-Za-z0-9])(\+[0-9]{{1,3}}(?:[ .-]?\(?[0-9]{{2,4}}\)?){{2,4}}){_RIGHT}"),
+    "intl_phone": ("private_phone", rf"(?:^|[^A-Za-z0-9])(\+[0-9]{{1,3}}(?:[ .-]?\(?[0-9]{{1,8}}\)?){{2,5}}){_RIGHT}"),
     "paren_phone": ("private_phone", rf"(?:^|[^A-Za-z0-9])(\([0-9]{{2,4}}\)[ -]?[0-9]{{3,4}}[-. ][0-9]{{3,4}}){_RIGHT}"),
-    "upper_code": ("account_number", rf"{_LEFT}([A-Z]{{8,11}})(?:[^A-Za-z0-9-]|\z)"),
+    "upper_code": ("account_number", rf"{_LEFT}([A-Z]{{8,11}}|[A-Z]{{6,9}}[0-9]{{2,3}}|[A-Z]{{2,}}[0-9]{{2,}}(?:-[A-Z0-9]{{2,}})+)(?:[^A-Za-z0-9-]|\z)"),
     "ssn": ("account_number", rf"{_LEFT}([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}){_RIGHT}"),
     "cn_id": ("account_number", rf"{_LEFT}([0-9]{{17}}[0-9Xx]){_RIGHT}"),
-    "card": ("account_number", rf"{_LEFT}([0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){_RIGHT}"),
-    "iban": ("account_number", rf"{_LEFT}([A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{3,7}}){_RIGHT}"),
+    "card": ("account_number", rf"{_LEFT}([0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|3[47][0-9]{{2}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_RIGHT}"),
+    "iban": ("account_number", rf"{_LEFT}([A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{3,7}}(?: [A-Z0-9]{{1,3}})?){_RIGHT}"),
     "ein": ("account_number", rf"{_LEFT}([0-9]{{2}}-[0-9]{{7}}){_RIGHT}"),
-    "api_key": ("secret", rf"{_LEFT}({_any(k for k, n in KEY_PREFIXES.items() if n == 20)}[A-Za-z0-9_.:/-]{{17,}})"),
-    "scheme_url": ("private_url", rf"{_LEFT}({_any(s for s, label in SCHEMES.items() if label == 'private_url')}[A-Za-z0-9._/?&=#%+:@~!(),;-]*[A-Za-z0-9_/?&=#%+:@~!(-])"),
+    "api_key": ("secret", rf"{_LEFT}({'|'.join(f'{k}[A-Za-z0-9_.:/-]{{{n - len(k)},}}' for k, n in KEY_PREFIXES.items())})"),
+    **{name: (label, rf"{_LEFT}({_any(s for s, own in SCHEMES.items() if own == label)}[A-Za-z0-9._/?&=#%+:@~!(),;-]*[A-Za-z0-9_/?&=#%+:@~!(-])") for name, label in (("scheme_url", "private_url"), ("scheme_secret", "secret"), ("scheme_phone", "private_phone"))},
     "bare_domain": ("private_url", rf"{_LEFT}([A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+{_any(TLDS)})(?:[^A-Za-z0-9._-]|\z)"),
     "long_date": ("private_date", rf"(?:^|[^A-Za-z0-9])({_any(MONTHS)} {_DAY},? {_YEAR}){_RIGHT}"),
     "cjk_date": ("private_date", rf"(?:^|[^0-9])({_YEAR}年{_MONTH}月{_DAY}日)"),
