@@ -84,11 +84,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-        _released()
+        released()
 
 
-def _released() -> None:
-    """Memory that this worker no longer uses goes back to the system: workers live from task to task, beside the executor's heap."""
+def released() -> None:
+    """Memory that this process no longer uses goes back to the system: workers live from task to task beside the executor's heap, the driver's Python beside the driver's."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, space_words, table, text_array
+from .common import released, slices, space_words, table, text_array
 
 SLOT_BITS = 18
 FACTORS = 4
@@ -99,7 +99,7 @@ def fit_machine(documents: list[np.ndarray], labels: np.ndarray, epochs: int = 6
     used = np.flatnonzero(frequent)
     rarity = np.log(len(labels) / seen[used])
     dense = np.cumsum(frequent) - 1
-    rows = [dense[d[frequent[d]]] for d in documents]
+    rows = [dense[d[frequent[d]]].astype(np.int32) for d in documents]
     random = np.random.default_rng(seed)
     w, z, nw = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
     v = random.normal(0, 0.1, (len(used), FACTORS))
@@ -153,8 +153,12 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOC
 
     joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most `limit` rows of two numbers are broadcast
     rows = joined.mapInArrow(run, "toxic int, slots binary").toArrow().sort_by([("slots", "ascending"), ("toxic", "ascending")])
-    sets = [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in rows.column("slots").to_pylist()]
-    return fit_machine(sets, np.asarray(rows.column("toxic")))
+    toxic, sets = np.asarray(rows.column("toxic")), [np.frombuffer(x, dtype="<i4") for x in rows.column("slots").to_pylist()]
+    del rows
+    machine = fit_machine(sets, toxic)
+    del sets
+    released()
+    return machine
 
 
 def score_toxicity(documents: DataFrame, machine: FactorizationMachine, output: str = "score") -> DataFrame:
