@@ -50,7 +50,7 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
 
 def phrase_candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, start, wid) where the RAREST rarest places of a window fit; windows with a term that the index lacks have none."""
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    counts = _small(stored(index.groupBy("term").agg(F.count("*").alias("n")), "counts"))
     places = windows.select("wid", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
     by_window = Window.partitionBy("wid", "length")
     ranked = places.withColumn("known", F.min(F.coalesce("n", F.lit(0))).over(by_window)).where("known > 0").withColumn("rank", F.row_number().over(by_window.orderBy("n", "offset"))).where(F.col("rank") <= RAREST)
