@@ -62,6 +62,17 @@ def emptied(*tables: DataFrame) -> None:
             spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """From now on the session sends texts to Python in batches of at most BATCH_BYTES, unless it has a limit of its own: texts may be long, and workers share the executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) == f"{64 << 20}b":
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, text_rows, to_slots, unpack
-from .common import ascii_lowered, emptied, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .common import ascii_lowered, emptied, mix, partitions, slices, small_batches, space_words, stored, table, text_array, word_hashes
 from .rare_prefix import grouped, similar_steps
 
 #: Buckets of word counts, whatever the corpus: 4 MB where they are broadcast.
@@ -449,6 +449,7 @@ def remove_similar_lines(documents: DataFrame, percent: int = 80, extra: str | N
     one empty line. Rows of equal doc_id and text are one document, returned as often; of several texts under one doc_id, lines of equal
     number are not earlier than one another. Rows with a null doc_id are left out; an empty table gives no rows.
     """
+    small_batches(documents)
     n = partitions(documents.sparkSession)
     passed = F.col(extra).cast("string") if extra else F.lit(None).cast("string")
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", passed.alias("extra")).where("doc_id IS NOT NULL")

@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lowered, document_shingles, emptied, mix, partitions, slices, space_words, stored, table, text_array, word_hashes
+from .common import ascii_lowered, document_shingles, emptied, mix, partitions, slices, small_batches, space_words, stored, table, text_array, word_hashes
 from .components import UnionFind, connected_components
 from .rare_prefix import grouped, rare_prefix_pairs
 
 MINIMA, TREES, DEPTH = 64, 21, 3
 #: Classes of a walked block; the last of a block is the first of the next.
 BLOCK = 48
+#: Members of a region that one task compares with those outside its largest component.
+PART = 1000
 #: Orders in which a class is walked: those in which most others share its region.
 WALKED = 2
 #: Pairs whose signatures agree on a smaller share are not tried: seven standard deviations below 0.8, where a pair at 0.8 is passed over with probability 2e-10.
@@ -72,7 +74,7 @@ def set_signatures(documents: DataFrame, width: int) -> DataFrame:
 def _signature_rows(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, MINIMA)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, MINIMA).copy()
 
 
 def region_keys(signatures: np.ndarray) -> np.ndarray:
@@ -100,22 +102,38 @@ def forest_regions(classes: DataFrame) -> DataFrame:
 
 
 def _walk_blocks(members: DataFrame) -> DataFrame:
-    """(block, center, doc_id) from members (region, tree, doc_id, signature): runs of BLOCK neighbours in the region's order."""
+    """(block, center, doc_id) from members (region, tree, doc_id, signature): runs of BLOCK neighbours in the region's order. A crowded region is spread over tasks, each with a part of its order."""
+
+    def ordered(batches):
+        for b in batches:
+            rows, trees = _signature_rows(b.column("signature")), np.asarray(b.column("tree"))
+            for t in np.unique(trees):
+                rows[trees == t] = np.roll(rows[trees == t], -int(t) * DEPTH, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("region"), b.column("doc_id"), pa.array([r.tobytes() for r in rows.astype(">u2")], pa.binary())], names=["region", "doc_id", "place"])
 
     def run(batches):
+        held: list[int] = []
+        at = None
         ids, blocks = [], []
-        for group in grouped(batches, "region"):
-            region, tree = group.column("region")[0].as_py(), group.column("tree")[0].as_py()
-            own = np.asarray(group.column("doc_id"))
-            order = np.roll(_signature_rows(group.column("signature")), -tree * DEPTH, axis=1).astype(">u2")
-            own = own[np.argsort(np.ascontiguousarray(order).view(f"S{2 * MINIMA}").ravel(), kind="stable")]
-            for n, at in enumerate(range(0, max(1, len(own) - 1), BLOCK - 1)):
-                part = own[at : at + BLOCK]
-                ids.append(part)
-                blocks.append(np.full(len(part), int(mix(np.array([region], dtype=np.int64).view(np.uint64) + np.uint64(n)).view(np.int64)[0])))
+
+        def close():
+            if len(held) > 1:
+                ids.append(np.array(held, dtype=np.int64))
+                blocks.append(np.full(len(held), xxhash.xxh3_64_intdigest(ids[-1].tobytes()), dtype=np.uint64).view(np.int64))
+
+        for b in batches:
+            for region, doc in zip(b.column("region").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
+                if region != at:
+                    close()
+                    held, at = [], region
+                held.append(doc)
+                if len(held) == BLOCK:
+                    close()
+                    held = held[-1:]
             if len(ids) > 500:
                 yield batch_of(ids, blocks)
                 ids, blocks = [], []
+        close()
         if ids:
             yield batch_of(ids, blocks)
 
@@ -123,21 +141,24 @@ def _walk_blocks(members: DataFrame) -> DataFrame:
         n = sum(map(len, ids))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)), pa.array(np.zeros(n, dtype=bool)), pa.array(np.concatenate(ids))], names=["block", "center", "doc_id"])
 
-    return members.repartition(partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "block bigint, center boolean, doc_id bigint")
+    placed = members.select("region", "tree", "doc_id", "signature").mapInArrow(ordered, "region bigint, doc_id bigint, place binary")
+    return placed.repartitionByRange(partitions(members.sparkSession), "region", "place").sortWithinPartitions("region", "place").select("region", "doc_id").mapInArrow(run, "block bigint, center boolean, doc_id bigint")
 
 
 def _unconnected(members: DataFrame, share: float) -> DataFrame:
-    """(doc_id, component) of members (region, doc_id, n_shingles, signature, component) that have, in some region, an unconnected class whose size and signature admit the threshold."""
+    """(doc_id, component) of members (region, doc_id, n_shingles, signature, component) that have, in some region, an unconnected class whose size and signature admit the threshold.
+
+    Regions of one component have none. Of any other, the members outside its largest component meet all members, which stand in parts of
+    about PART, by a hash: a copy of the former goes to each part.
+    """
 
     def run(batches):
-        for group in grouped(batches, "region"):
+        for group in grouped(batches, "part"):
+            apart = np.asarray(group.column("apart"))
             component = np.asarray(group.column("component"))
-            if (component == component[0]).all():
-                continue
             sizes, ids, rows = np.asarray(group.column("n_shingles")), np.asarray(group.column("doc_id")), _signature_rows(group.column("signature"))
-            labels, counts = np.unique(component, return_counts=True)
             flags = np.zeros(len(ids), dtype=bool)
-            for i in np.flatnonzero(component != labels[np.argmax(counts)]):
+            for i in np.flatnonzero(apart):
                 other = np.flatnonzero((component != component[i]) & (np.minimum(sizes, sizes[i]) >= share * np.maximum(sizes, sizes[i]) - 1e-9))
                 hit = other[(rows[other] == rows[i]).mean(axis=1) >= LEAST_AGREEMENT]
                 flags[hit] = True
@@ -145,7 +166,14 @@ def _unconnected(members: DataFrame, share: float) -> DataFrame:
             if flags.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[flags]), pa.array(component[flags])], names=["doc_id", "component"])
 
-    return members.repartition(partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, "doc_id bigint, component bigint").distinct()
+    sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).where("top.n < all")
+    regions = stored(regions.select("region", F.col("top.component").alias("main"), F.ceil(F.col("all") / PART).cast("int").alias("parts")), "mixed")
+    mixed = members.join(regions, "region").withColumn("apart", F.col("component") != F.col("main"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    dealt = mixed.withColumn("salt", F.explode(F.when(F.col("apart"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
+    rows = dealt.select(F.xxhash64("region", "salt").alias("part"), "apart", "doc_id", "n_shingles", "signature", "component")
+    return rows.repartition(partitions(members.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "doc_id bigint, component bigint").distinct()
 
 
 def _prefix_pairs(documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -212,6 +240,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     fewer words has one shingle, a null or blank one has none and is linked with nothing. Repeated rows each return; several texts of one
     doc_id are documents each; rows with a null doc_id are left out; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(documents)
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).where("doc_id IS NOT NULL")
     signatures = stored(set_signatures(documents, width), "signatures")
     classes = signatures.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))

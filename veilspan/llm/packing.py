@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, space_words, stored, table, text_array
+from .common import slices, small_batches, space_words, stored, table, text_array
 
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 # The steps of a tokenizer that keep apart what ASCII white space separates, and lower-case letters before they are split.
 WORD_STEPS = {
@@ -228,6 +228,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 20
     columns are ignored. Which of several pieces of a length takes which place is arbitrary but fixed once the pieces are written.
     """
     spark = documents.sparkSession
+    small_batches(documents)
     pieces = stored(tokenized_pieces(documents, tokenizer_path, capacity, end_id, keep_ids), "pieces")
     by_part = pieces.groupBy("part", "length").count()
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ROWS, SLOTS_PER_PARTITION, by_slot, dealt, documents_of, pack, slots_of, text_rows, to_slots, unpack
-from .common import emptied, mix, partitions, shingle_hashes, slices, space_words, stored, table, text_array, word_hashes
+from .common import emptied, mix, partitions, shingle_hashes, slices, small_batches, space_words, stored, table, text_array, word_hashes
 from .rare_prefix import grouped
 
 WINDOW = 20
@@ -275,6 +275,7 @@ def remove_repeated_windows(documents: DataFrame, window: int = WINDOW, digests:
     """
     if window <= PREFIX:
         raise ValueError(f"a window needs more than {PREFIX} words")
+    small_batches(documents)
     n = partitions(documents.sparkSession)
     slots = SLOTS_PER_PARTITION * n
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, slices, space_words, table, text_array
+from .common import released, slices, small_batches, space_words, table, text_array
 
 SLOT_BITS = 18
 FACTORS = 4
@@ -163,6 +163,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOC
 
 def score_toxicity(documents: DataFrame, machine: FactorizationMachine, output: str = "score") -> DataFrame:
     """documents with a score from 0 to 1, higher for texts that are likelier toxic. A null or empty text has the score of no terms; a column named like output is replaced; repeated rows stay. Only texts leave the JVM."""
+    small_batches(documents)
     model = documents.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
