@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, space_words, stored, table, text_array
 
 END_ID = 0
+#: Bytes of text that are taken together: a word costs once for all of them.
+_TAKEN = 8 << 20
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 600_000
 
 # The steps of a tokenizer that keep apart what ASCII white space separates, and lower-case letters before they are split.
 WORD_STEPS = {
@@ -138,7 +140,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, e
         encode = word_tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_TAKEN):
             offsets, ids = encode(text_array(batch.column("text")))
             doc_ids = batch.column("doc_id").to_pylist()
             rows = []
