@@ -469,14 +469,10 @@ def test_tokenizers_encode_whole_texts(name, by_words):
     offsets, ids = encode(pa.array(texts, pa.large_string()))
     whole = Tokenizer.from_file(path)
     assert encode.by_words == by_words
-    packing_small = packing.CACHED_WORDS
-    packing.CACHED_WORDS = 50  # what is forgotten and what is met again changes nothing
-    try:
-        for at in range(0, len(texts), 5):
-            again, found = encode(pa.array(texts[at : at + 5], pa.large_string()))
-            assert found.tolist() == ids[offsets[at] : offsets[min(at + 5, len(texts))]].tolist()
-    finally:
-        packing.CACHED_WORDS = packing_small
+    encode.words = 50  # what is forgotten changes nothing
+    for at in range(0, len(texts), 5):
+        again, found = encode(pa.array(texts[at : at + 5], pa.large_string()))
+        assert found.tolist() == ids[offsets[at] : offsets[min(at + 5, len(texts))]].tolist()
     assert all(ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
 
 

@@ -68,12 +68,12 @@ def encodes_words(path: str) -> bool:
 class WordTokenizer:
     """Ids of texts. Where the tokenizer encodes_words(), each distinct word is encoded once, plain ones by the tokenizer's model directly, lower-cased and in byte letters; of any other, whole texts are encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_words = encodes_words(path)
+        self.by_words, self.words = encodes_words(path), words
         self.letters = _byte_letters()
         self._forget()
 
@@ -112,7 +112,7 @@ class WordTokenizer:
         if not len(words):
             return np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint32)
         unique = words.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.words:
             self._forget()
         known = self.known
         self._learn([w for w in unique if w not in known])
@@ -125,19 +125,19 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, words: int) -> WordTokenizer:
     """One for each worker process, kept from task to task."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, words)
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
 
 
-def tokenized_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def tokenized_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id: int = END_ID, keep_ids: bool = False, words: int = CACHED_WORDS) -> DataFrame:
     """Each document's ids, then end_id, cut at multiples of capacity. part and place: the task that cut a piece and the piece's rank there among those of its length."""
 
     def run(batches):
-        encode = word_tokenizer(tokenizer_path)
+        encode = word_tokenizer(tokenizer_path, words)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in slices(batches, limit=_TAKEN):
@@ -223,15 +223,15 @@ def placements(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarr
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """documents (doc_id, text) as pieces with their sequence and their offset in it; with keep_ids also the pieces' ids.
+def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = END_ID, keep_ids: bool = False, words: int = CACHED_WORDS) -> DataFrame:
+    """documents (doc_id, text) as pieces with their sequence and their offset in it; with keep_ids also the pieces' ids. A worker keeps the ids of up to `words` words.
 
     A null or empty text is a document of the end id alone. Repeated rows are packed like others. An empty table gives no rows. Other
     columns are ignored. Which of several pieces of a length takes which place is arbitrary but fixed once the pieces are written.
     """
     spark = documents.sparkSession
     small_batches(documents)
-    pieces = stored(tokenized_pieces(documents, tokenizer_path, capacity, end_id, keep_ids), "pieces")
+    pieces = stored(tokenized_pieces(documents, tokenizer_path, capacity, end_id, keep_ids, words), "pieces")
     by_part = pieces.groupBy("part", "length").count()
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(placements(pack_lengths(counts, capacity)))
