@@ -20,6 +20,10 @@ from veilspan.llm.packing import pack_documents, tokenizer_file
 from veilspan.llm.toxicity import HELD_OUT, THRESHOLD, score_toxicity, train_toxicity
 
 
+#: Words that a packing worker keeps: fewer than by itself, as the workers of all stages share the executors' memory.
+WORDS = 150_000
+
+
 def _free(name: str, docs: DataFrame) -> str:
     """A column name that docs doesn't have."""
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -68,7 +72,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs, tokenizer_file())
+    return pack_documents(docs, tokenizer_file(), words=WORDS)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("packing", pack)]
