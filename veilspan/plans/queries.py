@@ -321,13 +321,15 @@ def tokenize(spark, sf_dir):
     return ids.groupBy("doc_id", names[F.col("id")].alias("token")).agg(F.count("*").alias("n"))
 
 
-@query("token_cover", "SELECT doc_id, md5(text) AS covered FROM documents WHERE text IS NOT NULL")
+@query("token_cover", "SELECT doc_id, strlen(text) AS n_bytes, true AS covered FROM documents WHERE text IS NOT NULL")
 def token_cover(spark, sf_dir):
-    """The bytes of the tokens, one after the other, are the text."""
+    """Each token begins where the one before ends, from the first byte of a text to its last."""
     tokenizer = Tokenizer({bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(_TOKENS)})
     t = tokens(read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), tokenizer)
-    raw = F.transform("tokens", lambda x: F.substring(F.encode("text", "UTF-8"), x["start"] + 1, x["end"] - x["start"]))
-    return t.select("doc_id", F.md5(F.aggregate(raw, F.encode(F.lit(""), "UTF-8"), lambda a, x: F.concat(a, x))).alias("covered"))
+    zero = F.array(F.lit(0))
+    starts, ends = F.transform("tokens", lambda x: x["start"]), F.transform("tokens", lambda x: x["end"])
+    meets = F.concat(starts, F.array(F.octet_length("text"))) == F.concat(zero, ends)
+    return t.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), meets.alias("covered"))
 
 
 def vectors(spark, sf_dir):
