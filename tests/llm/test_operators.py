@@ -68,7 +68,9 @@ def test_word_helpers_on_parts_of_arrays():
     assert offsets.tolist() == [0, 0, 2, 4] and words.to_pylist() == ["x", "Y", "ÀB", "c"]
 
 
-def test_decontamination(spark, docs, none):
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_decontamination(spark, docs, none, broadcast, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast)
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: pattern.findall((t or "").translate(LOWER))
     long = words(TEXTS[3] + TEXTS[7])
@@ -338,7 +340,9 @@ def test_similar_candidates_lose_nothing():
                 assert 100 * len(x & y) < percent * len(x | y) or frozenset((i, j)) in found
 
 
-def test_url_filters(spark):
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_url_filters(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", broadcast)
     urls = ["http://A.Example.ORG/es/x?y#z", "https://example.org/en/12", "https://x.org", "https://x.org/", "ftp://notexample.org/es/", "http://b.com/de/1", "http://b.com/fr/", None, "", "nonsense", "://", "http:///path", "http://" + "a." * 300 + "com/de/" + "p" * 5000, "http://ÉX.com/de/", "http://u@example.org:80/es/"]
     df = spark.createDataFrame([(i % 12, u, "x", "y") for i, u in enumerate(urls)] + [(0, urls[0], "x", "y")], "page_id bigint, url string, host string, rule string")
     rules = [*url_filters.RULES, ("com", "/de/", "block"), (None, "/", "block"), ("b.com", "/fr/", "allow")]

@@ -17,8 +17,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Places of a phrase whose posting lists are intersected.
 RAREST = 2
-#: Terms or anchors of the test items are broadcast up to so many rows (of under 100 bytes); more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Terms, windows or anchors of the test items are broadcast up to so many rows and bytes (as JSON); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: The posting with this term has a document's number of words as its position.
 END = ""
 
@@ -28,8 +28,9 @@ def word_array(text: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, broadcast if it has few rows and bytes: a word may be of any length."""
+    size = df.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from .common import ascii_lower, table
 
 #: Hex digits of the digest that the join compares first.
 SHORT = 8
-#: Up to so many rules their digests are broadcast (under 200 bytes each); more are joined by a shuffle.
-BROADCAST_RULES = 100_000
+#: Up to so many rules, and bytes of their hosts and paths, their digests are broadcast (72 bytes more each); more are joined by a shuffle.
+BROADCAST_RULES, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def url_host(url: Column) -> Column:
@@ -43,10 +43,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     spark = pages.sparkSession
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rules = rules.select("host", "path", "verdict").dropna().distinct()
-    shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.count("*").alias("n")).first()
+    shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.count("*").alias("n"), F.sum(F.octet_length("host") + F.octet_length("path")).alias("bytes")).first()
     known = rules.select(_digest(F.col("host"), F.col("path")).alias("digest"), F.concat("host", "path").alias("rule"), "verdict")
     known = known.withColumn("short", F.substring("digest", 1, SHORT))
-    if shape["n"] <= BROADCAST_RULES:
+    if shape["n"] <= BROADCAST_RULES and (shape["bytes"] or 0) <= BROADCAST_BYTES:
         known = F.broadcast(known)
     judged = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     labels = F.split("host", r"\.")
