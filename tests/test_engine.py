@@ -1,8 +1,10 @@
 import itertools
 import json
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from veilspan.operators import render as R
 from veilspan.operators import synth
 from veilspan.operators.provider import ModelProvider, phrase_provider
 from veilspan.operators.spans import normalize_column, normalized
-from veilspan.operators.tokenizer import Tokenizer, byte_alphabet, token_ids, tokens
+from veilspan.operators.tokenizer import Tokenizer, byte_alphabet, token_ids, tokens, tokens_udf
 from veilspan.operators.viterbi import allowed, boundary, tag_spans, transition_bias, viterbi
 from veilspan.plans.queries import CASES, placed
 from veilspan.sources import files
@@ -273,6 +275,31 @@ def test_texts_that_no_token_begins(spark):
     assert {r.id: r.tokens and [t.text for t in r.tokens] for r in tokens(df, tokenizer).collect()} == {1: ["abc", "ab"], 2: None, 3: []}
 
 
+def test_tokens_as_arrays_equal_those_one_by_one():
+    r = random.Random(5)
+    for _ in range(500):
+        tokenizer = Tokenizer({bytes(r.choices(b"abc", k=r.randint(1, 4))): i for i in range(r.randint(1, 12))}, [(b"ab", 99)] if r.random() < 0.2 else [])
+        b = bytes(r.choices(b"abc", k=r.randint(0, 12)))
+        try:
+            own = tokenizer(b)
+        except ValueError:
+            with pytest.raises(ValueError):
+                tokenizer.arrays(b)
+        else:
+            assert own == list(zip(*(x.tolist() for x in tokenizer.arrays(b)), strict=True))
+
+
+def test_tokens_of_a_batch_take_bounded_memory(spark):
+    """A worker held over 300 bytes for each byte of a batch."""
+    tokenizer = Tokenizer({bytes([b]): b for b in range(256)} | {b"th": 256})
+    batch = pa.array(["the ü" + " and so on" * 10_000, None, "x"] * 40)
+    tracemalloc.start()
+    out = [x for part in tokens_udf(tokenizer).func(iter([batch])) for x in [len(part), part[0][0].as_py()]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out[::2]) == len(batch) and out[1] == {"id": 256, "start": 0, "end": 2, "text": "th"} and peak < 20 * batch.nbytes
+
+
 def test_generator_and_files(spark, tmp_path):
     samples = synth.generate(spark, 100)
     assert sorted(map(str, samples.collect())) == sorted(map(str, synth.generate(spark, 100).repartition(3).collect()))

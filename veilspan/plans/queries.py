@@ -327,8 +327,7 @@ def token_cover(spark, sf_dir):
     tokenizer = Tokenizer({bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(_TOKENS)})
     t = tokens(read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), tokenizer)
     zero = F.array(F.lit(0))
-    starts, ends = F.transform("tokens", lambda x: x["start"]), F.transform("tokens", lambda x: x["end"])
-    meets = F.concat(starts, F.array(F.octet_length("text"))) == F.concat(zero, ends)
+    meets = F.concat("tokens.start", F.array(F.octet_length("text"))) == F.concat(zero, "tokens.end")
     return t.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), meets.alias("covered"))
 
 
