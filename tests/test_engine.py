@@ -160,6 +160,23 @@ def test_forward_equals_naive():
         M.top_k(np.array([[np.nan, 1.0]]), 1)
 
 
+def test_small_models_run_along_the_tokens():
+    c = ModelConfig(hidden=16, intermediate=8, layers=2, query_heads=4, kv_heads=2, head_dim=4, experts=6, top_k=2, window=3, vocab=256, pad_id=255)
+    w, r = M.random_weights(c), np.random.default_rng(3)
+    segments = [r.integers(0, 256, n) for n in (1, 0, 3, 9, 40, 2)]
+    for ids, got in zip(segments, M.forward_many(segments, w, c), strict=True):
+        assert got.shape == (len(ids), c.labels) and (not len(ids) or np.allclose(got, naive_forward(ids, w, c), atol=2e-3))
+    ids = r.integers(0, 256, 3 * M.NARROW_ROWS // 2)
+    got = M.forward(ids, w, c)
+    for at in (0, M.NARROW_ROWS - 20, len(ids) - 40):  # a token sees six others to each side
+        assert np.allclose(got[at + 6 : at + 34], M.forward(ids[at : at + 40], w, c)[6:34], atol=2e-3)
+    assert (M.best_tags(got) == got.argmax(axis=1)).all() and (M.best_tags(np.asfortranarray(got.round())) == got.round().argmax(axis=1)).all()
+    x = np.asfortranarray(r.integers(0, 3, (500, 6)).astype(np.float32))
+    assert (M.top_k(x, 3) == M.top_k(np.ascontiguousarray(x), 3)).all()
+    with pytest.raises(ValueError):
+        M.top_k(np.asfortranarray([[np.nan, 1.0], [0.0, 2.0]]), 1)
+
+
 def test_safetensors(spark, tmp_path):
     w = M.random_weights(SMALL)
     for bf16 in (False, True):

@@ -550,16 +550,24 @@ def viterbi_spans(spark, sf_dir):
 
 def score_digests(texts: list[str | None], weights, c: ModelConfig) -> list[tuple[int, list[float], str]]:
     """Of the tag scores of all bytes of each text, segment by segment as the engine sees them: how many, their sums, and the SHA-256 of the best tags (a byte each)."""
-    data = [(t or "").encode() for t in texts]
     owner, segments = [], []
-    for i, b in enumerate(data):
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
         for span in segment_spans(b):
-            owner.append(i), segments.append(np.frombuffer(segment_bytes(b, span), dtype=np.uint8))
-    n, sums, best = [0] * len(data), np.zeros((len(data), c.labels)), [hashlib.sha256() for _ in data]
-    for i, scores in zip(owner, M.forward_many(segments, weights, c), strict=True):
-        n[i] += len(scores)
-        sums[i] += scores.sum(axis=0, dtype=np.float64)
-        best[i].update(scores.argmax(axis=1).astype(np.uint8).tobytes())
+            owner.append(i), segments.append(segment_bytes(b, span))
+    n, sums, best = [0] * len(texts), np.zeros((len(texts), c.labels)), [hashlib.sha256() for _ in texts]
+    lengths = np.array([len(x) for x in segments], dtype=np.int64)
+    for first, last in M.blocks(lengths):
+        scores = M.forward_joined(np.frombuffer(b"".join(segments[first:last]), dtype=np.uint8), lengths[first:last], weights, c)
+        tags, at = M.best_tags(scores), 0
+        ends = np.cumsum(lengths[first:last])
+        for k in range(first, last):
+            if k + 1 == last or owner[k + 1] != owner[k]:
+                to, i = int(ends[k - first]), owner[k]
+                n[i] += to - at
+                sums[i] += scores[at:to].sum(axis=0, dtype=np.float64)
+                best[i].update(tags[at:to].tobytes())
+                at = to
     return [(k, row.round(3).tolist(), digest.hexdigest()) for k, row, digest in zip(n, sums, best, strict=True)]
 
 
