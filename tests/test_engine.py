@@ -381,6 +381,23 @@ def test_sql_functions(spark):
     assert D.detect(spark.createDataFrame([(synth.long_text(4000),)], "text string")).first().spans[0].text == "alice@example.com"
 
 
+def test_sql_rules_look_only_where_a_value_may_be(spark, tmp_path):
+    from veilspan.functions.sql_rules import SQL_RULES, rule_values
+    from veilspan.plans import queries as Q
+
+    r = random.Random(4)
+    values = [v for _, spans in CASES for _, v in spans] + ["3714 496353 98431", "4111-1111-1111-1111", "ABCDEF123", "May 5 2020", "sk_live_0123456789ab", "s3://a", "gs://b/c", "tel:5"]
+    rows = [(i, "".join(r.choice([*values, "Foo 1", "é", "-", "."]) + r.choice([" ", "\n", ", ", "x"]) for _ in range(r.randint(0, 6)))) for i in range(600)]
+    df = spark.createDataFrame([*((i, v) for i, v in enumerate(values, 1000)), *rows, (-1, None)], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    for name, (_, pattern) in SQL_RULES.items():
+        whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+        assert df.where(~rule_values(F.col("text"), name).eqNullSafe(whole)).count() == 0
+        assert df.where(F.size(whole) > 0).count()
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = Q.sql_rule_hits(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1  # the texts were read for each of six unions, and cut anew
+
+
 def test_forward_scores_cover_whole_texts(spark, tmp_path):
     from veilspan.plans import queries as Q
 

@@ -5,6 +5,8 @@ They are written apart from the scan, which they check, and use up the byte afte
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,48 @@ SQL_RULES = {
 }
 
 
+#: What a text has if it has a value of a rule: a quick look that spares most texts the rule's own pattern, which tries each place.
+_HAS = {
+    "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]",
+    "email": "@",
+    "intl_phone": r"\+[0-9]",
+    "paren_phone": r"\([0-9]{2}",
+    "upper_code": r"[A-Z]{2}[A-Z0-9]{2}",
+    "ssn": r"[0-9]-[0-9]{2}-[0-9]",
+    "cn_id": r"[0-9]{17}",
+    "card": r"[0-9]{4}[ -][0-9]{4}",
+    "iban": r"[A-Z]{2}[0-9]{2} ",
+    "ein": r"[0-9]-[0-9]{7}",
+    "scheme_url": "://",
+    "scheme_secret": "[3s]://",
+    "scheme_phone": "tel:",
+    "bare_domain": r"\.[A-Za-z0-9_-]+\.",
+    "long_date": "[a-z] [0-9]",
+    "cjk_date": "年",
+    "euro_date": r"[0-9][./][0-9]{1,2}[./][0-9]{4}",
+    "address": r", [A-Z]{2} [0-9]{5}",
+}
+
+
+def may_have(text: Column, name: str) -> Column:
+    """Whether a text may have a value of a rule; false only if it has none."""
+    if name == "api_key":
+        return reduce(Column.__or__, (text.contains(k) for k in KEY_PREFIXES))
+    return text.rlike(_HAS[name])
+
+
 def rule_values(text: Column, name: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(SQL_RULES[name][1]), F.lit(1))
+    none = F.array().cast("array<string>")
+    return F.when(~may_have(text, name), none).otherwise(F.regexp_extract_all(text, F.lit(SQL_RULES[name][1]), F.lit(1)))
 
 
-def rule_hits(texts: DataFrame, names=tuple(SQL_RULES), text: str = "text") -> DataFrame:
-    """texts without the text, a row per value: rule, label, value."""
-    kept = [c for c in texts.columns if c != text]
+def rule_hits(texts: DataFrame, names=tuple(SQL_RULES), text: str = "text", of: dict[str, str] | None = None) -> DataFrame:
+    """texts without the text, a row per value: rule, label, value. of: the columns that single rules read instead, which go too."""
+    of = of or {}
+    kept = [c for c in texts.columns if c != text and c not in of.values()]
 
     def hits(name: str) -> Column:
-        return F.transform(rule_values(F.col(text), name), lambda v: F.struct(F.lit(name).alias("rule"), F.lit(SQL_RULES[name][0]).alias("label"), v.alias("value")))
+        found = rule_values(F.col(of.get(name, text)), name)
+        return F.transform(found, lambda v: F.struct(F.lit(name).alias("rule"), F.lit(SQL_RULES[name][0]).alias("label"), v.alias("value")))
 
     return texts.select(*kept, F.explode(F.concat(*[hits(n) for n in names])).alias("hit")).select(*kept, "hit.*")

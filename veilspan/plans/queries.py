@@ -6,7 +6,6 @@ Texts are those of documents and, under negative ids, the examples of this packa
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LABELS, N_TAGS, PREFIXES, Calibration, ModelConfig, tag_name
-from ..functions.sql_rules import SQL_RULES, rule_hits
+from ..functions.sql_rules import SQL_RULES, may_have, rule_hits
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import render as R
@@ -127,13 +126,13 @@ for _name in SQL_RULES:
 
 @query("sql_rule_hits", f"{HITS_SQL} SELECT doc_id, rule, label, value FROM hits")
 def sql_rule_hits(spark, sf_dir):
-    """The patterns for plain SQL, in the JVM."""
-    t = texts(spark, sf_dir).withColumn("rest0", F.col("text"))
+    """The patterns for plain SQL, in the JVM, in one pass over the texts."""
+    t = texts(spark, sf_dir).select("doc_id", F.col("text").alias("rest0"))
     for k, name in enumerate(_FIRST):
         pattern, kept = keeping(name)
-        t = t.withColumn(f"rest{k + 1}", F.regexp_replace(f"rest{k}", pattern, (kept % " ").replace("\\", "$")))
-    hits = [rule_hits(t.select("doc_id", F.col(f"rest{min(k, len(_FIRST))}").alias("text")), names) for k, names in enumerate([*((n,) for n in _FIRST), tuple(_ORDER[len(_FIRST) :])])]
-    return reduce(DataFrame.unionByName, hits).select("doc_id", "rule", "label", "value")
+        rest = F.col(f"rest{k}")
+        t = t.withColumn(f"rest{k + 1}", F.when(~may_have(rest, name), rest).otherwise(F.regexp_replace(rest, pattern, (kept % " ").replace("\\", "$"))))
+    return rule_hits(t, _ORDER, of={name: f"rest{min(k, len(_FIRST))}" for k, name in enumerate(_ORDER)}).select("doc_id", "rule", "label", "value")
 
 
 @query("label_census", f"{HITS_SQL} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY label")
