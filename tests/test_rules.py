@@ -121,3 +121,14 @@ def test_segments():
         b = bytes(random.choice(b"ab. AB?\n") for _ in range(n))
         spans = segment_spans(b)
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False)) and sum(len(b[s:e].split()) for s, e in spans) >= len(b.split()) - 0
+
+
+def found(text: str) -> list[tuple[str, str]]:
+    b = text.encode()
+    return [(label, b[s:e].decode()) for s, e, label in detect_bytes(b)]
+
+
+def test_an_address_behind_a_number_is_no_group_of_it():
+    assert found("a 4451718024887799 27.65.93.188 b") == [("secret", "27.65.93.188")]
+    assert found("a 4451 7180 2488 7799 27.65.93.188 b") == [("account_number", "4451 7180 2488 7799"), ("secret", "27.65.93.188")]
+    assert found("a 4451718024887799 27.") == [("account_number", "4451718024887799 27")]
