@@ -132,3 +132,10 @@ def test_an_address_behind_a_number_is_no_group_of_it():
     assert found("a 4451718024887799 27.65.93.188 b") == [("secret", "27.65.93.188")]
     assert found("a 4451 7180 2488 7799 27.65.93.188 b") == [("account_number", "4451 7180 2488 7799"), ("secret", "27.65.93.188")]
     assert found("a 4451718024887799 27.") == [("account_number", "4451718024887799 27")]
+
+
+def test_digits_that_go_on_behind_a_phone_number():
+    """As the rule's SQL has them."""
+    assert found("a +1 (269) 555-3296 4524132264652876 b") == [("private_phone", "+1 (269) 555-3296 4524132264652876")]
+    assert found("a +1 (826) 555-4081 190.137.223.204 b") == [("private_phone", "+1 (826) 555-4081 190.137")]
+    assert found("a +1 (826) 555-4081 b") == [("private_phone", "+1 (826) 555-4081")]

@@ -44,6 +44,8 @@ def compiled(pattern: str) -> re.Pattern[bytes]:
 
 _END = rf"(?![{ALNUM}])"
 INTL_PHONE = compiled(r"\+([0-9]{1,3}+)((?:[ .\-]|\([0-9]*+\)?+|[0-9]++)*+)")
+#: Where digits go on behind a number: as many groups as one can have.
+BOUNDED_PHONE = compiled(rf"\+[0-9]{{1,3}}(?:[ .\-]?\(?[0-9]{{1,8}}\)?){{2,5}}{_END}")
 PAREN_PHONE = compiled(rf"\([0-9]{{2,4}}+\)[ \-]?+[0-9]{{3,4}}+(?![0-9])(?:[\-. ][0-9]{{3,4}}+|(?![\-. ])){_END}")
 KEY = compiled(rf"({one_of(KEY_PREFIXES)})[{ALNUM}\-_.:/]*+")
 LONG_DATE = compiled(rf"(?:{one_of(MONTHS)}) ([0-9]{{1,2}}+),?+ ([0-9]{{4}}){_END}")
