@@ -139,3 +139,10 @@ def test_digits_that_go_on_behind_a_phone_number():
     assert found("a +1 (269) 555-3296 4524132264652876 b") == [("private_phone", "+1 (269) 555-3296 4524132264652876")]
     assert found("a +1 (826) 555-4081 190.137.223.204 b") == [("private_phone", "+1 (826) 555-4081 190.137")]
     assert found("a +1 (826) 555-4081 b") == [("private_phone", "+1 (826) 555-4081")]
+
+
+def test_an_email_ends_before_a_part_of_one_letter():
+    """As the rule's SQL has it."""
+    assert found("a b.12@mail7.example.c") == [("private_email", "b.12@mail7.example")]
+    assert found("a b.12@mail7.example.com.A b") == [("private_email", "b.12@mail7.example.com")]
+    assert found("a b.12@mail7.c b") == []
