@@ -3,6 +3,7 @@ import json
 import random
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -19,7 +20,7 @@ from veilspan.operators.provider import ModelProvider, phrase_provider
 from veilspan.operators.spans import normalize_column, normalized
 from veilspan.operators.tokenizer import Tokenizer, byte_alphabet, token_ids, tokens, tokens_udf
 from veilspan.operators.viterbi import allowed, boundary, tag_spans, transition_bias, viterbi
-from veilspan.plans.queries import CASES, placed
+from veilspan.plans.queries import CASES, ORACLES, QUERIES, placed
 from veilspan.sources import files
 from veilspan.sources.safetensors import SafetensorsSource, TensorFile, tensor_entries, write_tensors
 
@@ -412,3 +413,16 @@ def test_forward_scores_cover_whole_texts(spark, tmp_path):
     assert got[1].n_tokens == sum(map(len, pieces)) and got[3].n_tokens == 8 and got[4].n_tokens == got[5].n_tokens == 0
     assert np.allclose(got[1].scores, 40 * naive[0].sum(axis=0) + naive[1].sum(axis=0), atol=0.5, rtol=1e-3)
     assert got[1].scores != got[2].scores  # the last byte counts
+
+
+#: Values that meet others: an address behind a card, digits behind a phone number, a cut e-mail.
+MEETING = ["a 4451718024887799 27.65.93.188 b", "a +1 (269) 555-3296 4524132264652876 b", "a +1 (826) 555-4081 190.137.223.204 b", "a b.12@mail7.example.c"]
+
+
+@pytest.mark.parametrize("name", ["label_census"])
+def test_queries_of_values_that_meet_equal_their_sql(spark, tmp_path, name):
+    at = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(MEETING)], "doc_id bigint, text string, lang string").write.parquet(at)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/*.parquet'")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES[name]).fetchall())
