@@ -146,3 +146,12 @@ def test_an_email_ends_before_a_part_of_one_letter():
     assert found("a b.12@mail7.example.c") == [("private_email", "b.12@mail7.example")]
     assert found("a b.12@mail7.example.com.A b") == [("private_email", "b.12@mail7.example.com")]
     assert found("a b.12@mail7.c b") == []
+
+
+def test_uids_go_by_the_first_place_of_a_value():
+    """As the SQL of mask_uids has it: within a longer word too, and the shorter of two first."""
+    b = b"a XXKEITHEITUNGEN, BEVERSCH, KEITHEITUNG, KEITHEIT, BEVERSCH b"
+    masked, entities = mask_bytes(b, detect_bytes(b))
+    assert masked == b"a XXKEITHEITUNGEN, <ACCOUNT_3>, <ACCOUNT_2>, <ACCOUNT_1>, <ACCOUNT_3> b"
+    assert unmask_text(masked.decode(), entities) == b.decode()
+    assert mask_bytes(b"xab, b, a", [(5, 6, "odd"), (8, 9, "odd")])[0] == b"xab, <PII_1>, <PII_2>"

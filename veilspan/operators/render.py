@@ -34,24 +34,28 @@ def redact_bytes(b: bytes, spans: Sequence[Span]) -> bytes:
 
 
 def mask_bytes(b: bytes, spans: Sequence[Span]) -> tuple[bytes, list[tuple[str, str, str]]]:
-    """Masked text and an entity (uid, label, text) per span: spans of equal label and bytes share a uid, numbered by first appearance within their type.
+    """Masked text and an entity (uid, label, text) per span: spans of equal label and bytes share a uid, numbered within their type by where
+    the text first has the value, even inside a longer word; of two in one place the shorter goes first.
 
     Numbers whose placeholder the text itself has are passed over, so unmasking gives the text back whatever it holds.
     """
+    firsts: dict[tuple[str, bytes], int] = {}
+    for i, (start, end, label) in enumerate(spans):
+        firsts.setdefault((label, b[start:end]), i)
     uids: dict[tuple[str, bytes], str] = {}
     counts: dict[str, int] = {}
+    for label, value in sorted(firsts, key=lambda k: (b.find(k[1], 0, spans[firsts[k]][1]), k[1]) if k[0] in PREFIXES else (firsts[k], b"")):
+        prefix = PREFIXES.get(label)
+        kind = prefix or OTHER_PREFIX
+        counts[kind] = counts.get(kind, 0) + 1 if prefix else max(firsts[label, value] + 1, counts.get(kind, 0) + 1)
+        while f"<{kind}_{counts[kind]}>".encode() in b:
+            counts[kind] += 1
+        uids[label, value] = f"{kind}_{counts[kind]}"
     entities, pieces = [], []
-    for i, (start, end, label) in enumerate(spans):
-        key = label, b[start:end]
-        if key not in uids:
-            prefix = PREFIXES.get(label)
-            kind = prefix or OTHER_PREFIX
-            counts[kind] = counts.get(kind, 0) + 1 if prefix else max(i + 1, counts.get(kind, 0) + 1)
-            while f"<{kind}_{counts[kind]}>".encode() in b:
-                counts[kind] += 1
-            uids[key] = f"{kind}_{counts[kind]}"
-        entities.append((uids[key], label, key[1].decode("utf-8", "replace")))
-        pieces.append(f"<{uids[key]}>".encode())
+    for start, end, label in spans:
+        uid = uids[label, b[start:end]]
+        entities.append((uid, label, b[start:end].decode("utf-8", "replace")))
+        pieces.append(f"<{uid}>".encode())
     return spliced(b, spans, pieces), entities
 
 
